@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, quality, sharding, simhash_dedup
-from spanloom.llm.common import raw_table, text_or_empty
+from spanloom.llm import bpe, exact_dedup, mixing, quality, sharding, simhash_dedup, token_counts, wavelet
+from spanloom.llm.common import fresh_path, raw_table, text_or_empty, written
 
 N_SHARDS = 8
 
@@ -18,6 +18,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).select("doc_id", "quality.*")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file; it must be at this place on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = raw_table(spark, sf_dir, "documents").select("text")
+    return token_counts.suffix_sums(written(token_counts.length_histogram(docs, tokenizer_path()), "lengths"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty("text")
     slim = raw_table(spark, sf_dir, "documents").select(
@@ -37,6 +49,20 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = raw_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.bpe_decode(bpe.bpe_encode(docs, tokenizer_path()), tokenizer_path())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = fresh_path(spark, "tokens")
+    wavelet.write_tokens(raw_table(spark, sf_dir, "documents"), tokenizer_path(), target)
+    docs = wavelet.read_tokens(spark, target)
+    slim = written(docs.select("part", "piece", "doc_id", "at", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-docs")
+    return wavelet.with_starts(slim).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(raw_table(spark, sf_dir, "documents"))
 
