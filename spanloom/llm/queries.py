@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, exact_dedup, mixing, quality, sharding, simhash_dedup, token_counts, wavelet
+from spanloom.llm import bpe, exact_dedup, mixing, quality, sharding, simhash_dedup, token_counts, warc, wavelet
 from spanloom.llm.common import fresh_path, raw_table, text_or_empty, written
 
 N_SHARDS = 8
@@ -49,6 +49,21 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = fresh_path(spark, "warc")
+    warc.write_warc(raw_table(spark, sf_dir, "pages"), target, "page_id", "html", "url")
+    records = warc.read_warc(spark, target)
+    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    response = F.col("record_type") == "response"
+    return records.select(
+        number("record_id").alias("page_id"),
+        F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = raw_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.bpe_decode(bpe.bpe_encode(docs, tokenizer_path()), tokenizer_path())
