@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, exact_dedup, mixing, quality, sharding, simhash_dedup, token_counts, warc, wavelet
+from spanloom.llm import bpe, exact_dedup, line_dedup, mixing, quality, sharding, simhash_dedup, token_counts, warc, wavelet
 from spanloom.llm.common import fresh_path, raw_table, text_or_empty, written
 
 N_SHARDS = 8
@@ -78,6 +78,13 @@ def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.with_starts(slim).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = raw_table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = line_dedup.line_dedup(docs)
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return clean.select("doc_id", lines.alias("n_lines"), F.col("clean_text_dropped").alias("n_dropped"), F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(raw_table(spark, sf_dir, "documents"))
 
