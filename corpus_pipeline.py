@@ -1,10 +1,64 @@
-"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing, BPE. Each stage is one operator of spanloom.llm."""
+"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing, BPE. Each stage is one operator of spanloom.llm.
+
+Every stage works on all rows that its predecessor kept. Stages are written as Parquet in the shared folder and read again,
+so a lost executor repeats one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm import bpe, exact_dedup, mixing, quality, simhash_dedup
+from spanloom.llm.common import fresh_path, raw_table
+from spanloom.llm.queries import tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the compression bands keep."""
+    return quality.keep_good(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints, the one with the smallest doc_id."""
+    return simhash_dedup.drop_near_copies(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, and the digest of the text that the ids decode to."""
+    path = tokenizer_path()
+    coded = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mix", mix_stage),
+    ("bpe", bpe_stage),
+]
+#: zstandard ratios, XXH64 fingerprints and BPE are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written and reread."""
+    docs = raw_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
