@@ -193,7 +193,10 @@ def load(path: str, library_merges: bool = False) -> WordBpe:
 
 
 def encode_column(text_col: str | Column, path: str) -> Column:
-    """array<int> of the ids; null and empty texts give an empty array."""
+    """array<int> of the ids; null and empty texts give an empty array.
+
+    Declared as nondeterministic, which it is not: so the optimiser does not encode again for each use of the ids.
+    """
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
@@ -204,7 +207,7 @@ def encode_column(text_col: str | Column, path: str) -> Column:
         values = np.frombuffer(b"".join(parts), dtype="<i4")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int32()))
 
-    return encode(F.col(text_col) if isinstance(text_col, str) else text_col)
+    return encode.asNondeterministic()(F.col(text_col) if isinstance(text_col, str) else text_col)
 
 
 def decode_column(ids_col: str | Column, path: str) -> Column:
