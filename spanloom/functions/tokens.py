@@ -54,47 +54,56 @@ def type_of(value: Column) -> Column:
     return out.otherwise("Other")
 
 
-def _running(values: Column) -> Column:
-    """Inclusive running sums of an array of ints, by blocks of BLOCK."""
+def running(values: Column, combine=lambda a, b: a + b) -> Column:
+    """Inclusive running values of an array of ints under an associative operation (sums by default), by blocks of BLOCK."""
+    ints = lambda: F.array().cast("array<int>")
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
 
-    def cumulate(block: Column) -> Column:
-        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, x: F.struct((acc["n"] + x).alias("n"), F.array_append(acc["out"], acc["n"] + x).alias("out"))
-        return F.aggregate(block, start, step, lambda acc: acc["out"])
+    def step(acc: Column, x: Column) -> Column:
+        now = F.coalesce(combine(acc["last"], x), x)  # the first value has nothing before it
+        return F.struct(now.alias("last"), F.array_append(acc["out"], now).alias("out"))
 
-    start = F.struct(F.lit(0).alias("base"), F.array().cast("array<array<int>>").alias("out"))
+    start = F.struct(F.lit(None).cast("int").alias("last"), ints().alias("out"))
 
     def shift(acc: Column, block: Column) -> Column:
-        sums = F.transform(cumulate(block), lambda x: x + acc["base"])
-        return F.struct(F.element_at(sums, -1).alias("base"), F.array_append(acc["out"], sums).alias("out"))
+        inside = F.aggregate(block, start, step, lambda a: a["out"])
+        moved = F.transform(inside, lambda x: F.coalesce(combine(acc["base"], x), x))
+        return F.struct(F.element_at(moved, -1).alias("base"), F.array_append(acc["out"], moved).alias("out"))
 
-    return F.when(F.size(values) > 0, F.aggregate(blocks, start, shift, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast("array<int>"))
+    outer = F.struct(F.lit(None).cast("int").alias("base"), F.array().cast("array<array<int>>").alias("out"))
+    return F.when(F.size(values) > 0, F.aggregate(blocks, outer, shift, lambda acc: F.flatten(acc["out"]))).otherwise(ints())
+
+
+def fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns that the optimiser does not merge into later expressions.
+
+    A column that is read inside a lambda would otherwise be computed again for each element. A one-element
+    generator keeps the projections apart, on streams too.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
 
 
 def with_tokens(df: DataFrame, text_col: str = "text", into: str = "tokens") -> DataFrame:
     """``df`` with ``into``, an array of TOKEN; null text gives null, empty text an empty array. forms and tag are null."""
-    text = F.col(text_col)
-    pieces = df.withColumn("__pieces", F.regexp_extract_all(text, F.lit(_lit(PIECE)), F.lit(0)))
-    own = F.regexp_replace
-    parts = pieces.withColumn("__values", F.transform("__pieces", lambda p: own(p, F.lit(r"(?U)\A[^\S\n\r]+"), F.lit(""))))
-    parts = parts.withColumns(
-        {
-            "__bytes": _running(F.transform("__pieces", lambda p: F.octet_length(p))),
-            "__chars": _running(F.transform("__pieces", lambda p: F.char_length(p))),
-        }
+    pieces = fixed(df, {"__pieces": F.regexp_extract_all(F.col(text_col), F.lit(_lit(PIECE)), F.lit(0))})
+    parts = F.arrays_zip(
+        F.transform("__pieces", lambda p: F.regexp_replace(p, F.lit(r"(?U)\A[^\S\n\r]+"), F.lit(""))).alias("value"),
+        running(F.transform("__pieces", lambda p: F.octet_length(p))).alias("byte_stop"),
+        running(F.transform("__pieces", lambda p: F.char_length(p))).alias("char_stop"),
     )
 
-    def token(value: Column, i: Column) -> Column:
-        byte_stop, char_stop = F.get("__bytes", i), F.get("__chars", i)
+    def token(z: Column, i: Column) -> Column:
+        value = z["0"]
         return F.struct(
             i.alias("idx"), value.alias("value"), type_of(value).alias("token_type"),
-            (byte_stop - F.octet_length(value)).alias("byte_start"), byte_stop.alias("byte_stop"),
-            (char_stop - F.char_length(value)).alias("char_start"), char_stop.alias("char_stop"),
+            (z["1"] - F.octet_length(value)).alias("byte_start"), z["1"].alias("byte_stop"),
+            (z["2"] - F.char_length(value)).alias("char_start"), z["2"].alias("char_stop"),
             F.lit(None).cast(f"array<{FORM}>").alias("forms"), F.lit(None).cast("string").alias("tag"),
         )
 
-    return parts.withColumn(into, F.transform("__values", token)).drop("__pieces", "__values", "__bytes", "__chars")
+    parted = fixed(pieces, {"__parts": parts.cast("array<struct<`0`:string,`1`:int,`2`:int>>")})
+    return fixed(parted, {into: F.transform("__parts", token)}).drop("__pieces", "__parts")
 
 
 def token_rows(df: DataFrame, keep: list[str], tokens_col: str = "tokens") -> DataFrame:

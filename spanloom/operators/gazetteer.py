@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.tokens import local_tokens, with_tokens
+from spanloom.functions.tokens import fixed, local_tokens, with_tokens
 from spanloom.plans.grammar import Gazetteer
 
 #: Phrases up to which the phrase table is broadcast (counted); above it the join shuffles on the first token.
@@ -60,7 +60,7 @@ def gazetteer_spans(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", ca
         i.alias("start"), value(t).alias("first"), t["byte_start"].alias("byte_start"),
         F.transform(F.slice(F.col("tokens"), i + 1, F.lit(max(longest, 1))), lambda u: F.struct(value(u).alias("v"), u["byte_stop"].alias("stop"))).alias("ahead"),
     ))
-    starts = docs.filter(F.col("tokens").isNotNull()).select(key, F.inline(ahead))
+    starts = fixed(docs.filter(F.col("tokens").isNotNull()).select(key, "tokens"), {"__ahead": ahead}).select(key, F.inline("__ahead"))
     side = F.broadcast(phrases) if count <= BROADCAST_PHRASES else phrases
     same = F.transform(F.slice("ahead", F.lit(1), F.col("n")), lambda x: x["v"]) == F.col("words")
     found = starts.join(side, "first").filter(same)
