@@ -8,8 +8,6 @@ from dataclasses import dataclass, field, replace
 
 from spanloom.errors import GrammarError
 
-#: Marks "no constant", as None is a value.
-_NONE = object()
 DEFAULT_INFLECTION = ("nomn", "sing")
 
 
@@ -27,7 +25,8 @@ class Attribute:
     default: object = None
     mode: str = "text"
     grams: tuple[str, ...] = ()
-    constant: object = _NONE
+    constant: object = None
+    is_constant: bool = False
     functions: tuple[Callable, ...] = ()
 
     def normalized(self) -> Attribute:
@@ -37,7 +36,7 @@ class Attribute:
         return replace(self, mode="inflected", grams=tuple(grams))
 
     def const(self, value) -> Attribute:
-        return replace(self, constant=value)
+        return replace(self, constant=value, is_constant=True)
 
     def custom(self, function: Callable) -> Attribute:
         return replace(self, functions=(*self.functions, function))
@@ -199,7 +198,7 @@ class Interpreter:
             place = len(self.records)
             inner = self._children(node)
             out = _Found()
-            if payload.constant is not _NONE:
+            if payload.is_constant:
                 value = payload.constant
             elif inner.facts and payload.mode == "text":
                 value = inner.facts[-1] if len(inner.facts) == 1 else list(inner.facts)

@@ -117,7 +117,8 @@ def test_other_verbs(docs):
         Parser(grammar, engine="relational").match(docs)
 
 
-def test_plans_without_python_or_shuffle(docs):
+def test_plans_without_python_or_shuffle(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = Parser(GRAMMARS["choice"]).findall(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
