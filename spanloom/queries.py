@@ -22,7 +22,7 @@ number, email, phone, domain = (pred(P.is_token_type(x)) for x in ("Int", "Email
 
 #: An invented English lexicon: form, rank, lemma_id, lemma, grammemes.
 LEXICON = [
-    ("the", 0, 1, "the", ["ADJF", "GNdr"]), ("is", 0, 2, "be", ["VERB", "sing"]), ("are", 1, 2, "be", ["VERB", "plur"]), ("was", 2, 2, "be", ["VERB", "past", "sing"]),
+    ("the", 0, 1, "the", ["ADJF", "GNdr", "plur", "sing"]), ("is", 0, 2, "be", ["VERB", "sing"]), ("are", 1, 2, "be", ["VERB", "plur"]), ("was", 2, 2, "be", ["VERB", "past", "sing"]),
     ("you", 0, 3, "you", ["NPRO", "plur"]), ("that", 0, 4, "that", ["ADJF", "sing"]), ("those", 1, 4, "that", ["ADJF", "plur"]), ("that", 0, 5, "that", ["CONJ"]),
     ("this", 0, 6, "this", ["ADJF", "sing"]), ("these", 1, 6, "this", ["ADJF", "plur"]), ("not", 0, 7, "not", ["PRCL"]), ("idiot", 0, 8, "idiot", ["NOUN", "masc", "sing"]),
     ("idiots", 1, 8, "idiot", ["NOUN", "masc", "plur"]), ("clown", 0, 9, "clown", ["NOUN", "masc", "sing"]), ("it", 0, 10, "it", ["NPRO", "neut", "sing"]), ("from", 0, 11, "from", ["PREP"]),
@@ -166,12 +166,12 @@ def join_gap_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("token_first_span_algebra", f"""WITH {_tokens('turns')}, p AS (SELECT a.doc_id, a.byte_start AS s1, a.byte_stop AS e1, b.byte_start AS s2, b.byte_stop AS e2 FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.idx = a.idx + 1)
-    SELECT doc_id, s1 AS start, e1 - s1 AS len, s1 < e2 AND s2 < e1 AS overlap, e1 = s2 OR e2 = s1 AS touch, CASE WHEN e1 = s2 THEN e2 END AS merged_stop FROM p""")
+    SELECT doc_id, s1 AS start, e1 - s1 AS len, s1 < e2 AND s2 < e1 AS overlap, e1 = s2 OR e2 = s1 AS touch, CASE WHEN e1 = s2 THEN e2 ELSE -1 END AS merged_stop FROM p""")
 def span_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_tokens(turns(spark, sf_dir)).select("doc_id", F.inline(F.arrays_zip(F.col("tokens").alias("a"), F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(1))).alias("b"))).alias("a", "b"))
     pairs = pairs.filter(F.col("b").isNotNull())
     a, b = S.span(F.col("a.byte_start"), F.col("a.byte_stop")), S.span(F.col("b.byte_start"), F.col("b.byte_stop"))
-    return pairs.select("doc_id", a["start"].alias("start"), S.length(a).alias("len"), S.overlaps(a, b).alias("overlap"), S.touches(a, b).alias("touch"), S.merge(a, b)["stop"].alias("merged_stop"))
+    return pairs.select("doc_id", a["start"].alias("start"), S.length(a).alias("len"), S.overlaps(a, b).alias("overlap"), S.touches(a, b).alias("touch"), F.coalesce(S.merge(a, b)["stop"], F.lit(-1)).alias("merged_stop"))
 
 
 # predicates
@@ -252,7 +252,7 @@ def recursive_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside, item = forward(), forward()
     item.define(or_([pred(~P.in_(["<", ">"])), rule([term("<"), inside, term(">")])]))
     inside.define(item.repeatable())
-    return _spans(Parser(rule([term("<"), inside, term(">")])).findall(turns(spark, sf_dir)))
+    return _spans(Parser(rule([term("<"), inside, term(">")])).findall(pages(spark, sf_dir)))
 
 
 # gazetteers
@@ -313,10 +313,10 @@ def fact_const_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.get_json_object("fields", "$.number").alias("number"), "fields")
 
 
-@query("fact_repeatable_words", f"WITH {_tokens('turns')}, found AS ({_runs('title', 2)}) SELECT f.doc_id, f.start AS tok_start, list(t.value ORDER BY t.idx) AS words FROM found f JOIN tokens t ON t.doc_id = f.doc_id AND t.idx >= f.start AND t.idx < f.stop GROUP BY f.doc_id, f.start")
+@query("fact_repeatable_words", f"WITH {_tokens('documents')}, found AS ({_runs('title', 2)}) SELECT f.doc_id, f.start AS tok_start, list(t.value ORDER BY t.idx) AS words FROM found f JOIN tokens t ON t.doc_id = f.doc_id AND t.idx >= f.start AND t.idx < f.stop GROUP BY f.doc_id, f.start")
 def fact_repeatable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     parser = Parser(title.interpretation(W.words).repeatable(2).interpretation(W))
-    docs = turns(spark, sf_dir)
+    docs = documents(spark, sf_dir)
     places = parser.findall(docs).select("doc_id", "match_no", "tok_start")
     return typed(parser.facts(docs), W).join(places, ["doc_id", "match_no"]).select("doc_id", "tok_start", "fields.words")
 
@@ -383,8 +383,8 @@ def lex_inflected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _agree(name: str, relation, sql: str) -> None:
     grammar = lambda: rule([pred(P.gram("NPRO") | P.gram("ADJF") | P.gram("NOUN")).match_relation(relation), pred(P.gram("VERB")).match_relation(relation)])
     pairs = f"SELECT DISTINCT a.doc_id, a.idx AS start, a.idx + 2 AS stop FROM forms a JOIN forms b ON b.doc_id = a.doc_id AND b.idx = a.idx + 1 WHERE list_has_any(a.grams, ['NPRO', 'ADJF', 'NOUN']) AND list_contains(b.grams, 'VERB') AND ({sql})"
-    query(name, f"WITH {_tokens('turns')}, {_LEX}, cand AS ({pairs}), {_RESOLVED} {_SHOWN}")(
-        lambda spark, sf_dir: _spans(Parser(grammar(), lexicon=lexicon(spark), **LATIN).findall(turns(spark, sf_dir)))
+    query(name, f"WITH {_tokens('documents')}, {_LEX}, cand AS ({pairs}), {_RESOLVED} {_SHOWN}")(
+        lambda spark, sf_dir: _spans(Parser(grammar(), lexicon=lexicon(spark), **LATIN).findall(documents(spark, sf_dir)))
     )
 
 
