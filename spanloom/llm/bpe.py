@@ -4,7 +4,7 @@ The merge loop of a word keeps a segment tree over its adjacent pairs: a leaf ho
 node the least of its children, so the root is the leftmost lowest-ranked merge. A merge changes at most three
 leaves, each updated in logarithmic time, until the root holds no mergeable pair.
 
-White space ends every pre-token, so texts are cut there and the ids of a piece are remembered in a cache of bounded size.
+Texts are cut into pre-tokens, and the ids of a pre-token are remembered in a cache of bounded size.
 Texts of plain Latin letters are normalised and cut by Python's own tables; all others by the library's normaliser
 and pre-tokeniser, whose results are then the same by construction.
 """
@@ -117,7 +117,7 @@ def merge_word(symbols: list[int], ranks: dict[int, int], merged: list[int], bas
 class WordBpe:
     """Encoder and decoder of one vocabulary file; ids agree with the library's ``encode(..., add_special_tokens=False)``."""
 
-    def __init__(self, path: str, library_merges: bool = False):
+    def __init__(self, path: str, library_merges: bool = False, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -145,30 +145,33 @@ class WordBpe:
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(others)}
         lower = sorted({y for x in _PLAIN for y in x.lower()})
         kind = lambda k: "".join(re.escape(x) for x in lower if unicodedata.category(x)[0] == k)
-        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kind('L')}]+|[{kind('N')}]|[^{kind('L')}{kind('N')}]+")
-        self.words = RecentCache(self._library_word if library_merges else self._word)
-        self.pieces = RecentCache(self._piece)
+        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kind('L')}]+|[{kind('N')}]|[^\s{kind('L')}{kind('N')}]+")
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
+        self.ids_of = self._library_ids if library_merges else self._tree_ids
+        self.words = RecentCache(self._plain_word, cache)
+        self.mapped = RecentCache(self._word, cache // 4)
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a pre-token in the byte-level alphabet, as little-endian 32-bit integers."""
+    def _tree_ids(self, word: str) -> list[int]:
         vocab = self.vocab
         symbols = [vocab[c] for c in word[:-1]]
         symbols.append(vocab[word[-1] + self.suffix])
-        return array("i", merge_word(symbols, self.ranks, self.merged, self.base)).tobytes()
+        return merge_word(symbols, self.ranks, self.merged, self.base)
+
+    def _library_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(word)]
 
-    def _library_word(self, word: str) -> bytes:
-        return array("i", [t.id for t in self.library.model.tokenize(word)]).tobytes()
+    def _word(self, word: str) -> bytes:
+        """Ids of a pre-token in the byte-level alphabet, as little-endian 32-bit integers."""
+        return b"".join(map(self.four.__getitem__, self.ids_of(word)))
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a lower-case piece without white space."""
-        letters = self.letters
-        return b"".join(self.words[w if w.isascii() else "".join(map(letters.__getitem__, w.encode()))] for w in self.cut.findall(piece))
+    def _plain_word(self, word: str) -> bytes:
+        return self._word(word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode())))
 
     def _plain(self, text: str) -> bytes:
         if not _UNUSUAL.search(text):
-            return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+            return b"".join(map(self.words.__getitem__, self.cut.findall(text.lower())))
         normal = self.library.normalizer.normalize_str(text)
-        return b"".join(self.words[w] for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
+        return b"".join(self.mapped[w] for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as 32-bit little-endian integers; special tokens written in the text are special."""
@@ -187,9 +190,23 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def load(path: str, library_merges: bool = False) -> WordBpe:
+def load(path: str, library_merges: bool = False, cache: int = CACHE_WORDS) -> WordBpe:
     """One instance a worker process; words are merged by the segment tree, or by the library's own model."""
-    return WordBpe(path, library_merges)
+    return WordBpe(path, library_merges, cache)
+
+
+@lru_cache(maxsize=2)
+def token_list(path: str) -> list[str]:
+    """Tokens by id: all that decoding needs, so a worker that only decodes holds no encoder."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["decoder"]:
+        raise ValueError("only files without decoder are decoded here")
+    ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
+    tokens = [""] * (1 + max(ids.values()))
+    for token, i in ids.items():
+        tokens[i] = token
+    return tokens
 
 
 def encode_column(text_col: str | Column, path: str) -> Column:
@@ -215,23 +232,47 @@ def decode_column(ids_col: str | Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        bpe = load(path)
+        token = token_list(path).__getitem__
         values = rows.values.to_numpy(zero_copy_only=False)
         ends = rows.offsets.to_numpy()
-        return pa.array((bpe.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])), type=pa.string())
+        return pa.array((" ".join(map(token, values[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])), type=pa.string())
 
     return decode(F.col(ids_col) if isinstance(ids_col, str) else ids_col)
 
 
+def codec_column(text_col: str | Column, path: str) -> Column:
+    """struct<ids, decoded>: both ways in one worker, so a task needs one Python process and ids travel once."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def codec(texts: pa.Array) -> pa.Array:
+        bpe = load(path)
+        parts = [np.frombuffer(bpe.encode(t.as_py()), dtype="<i4") for t in texts]
+        offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+        np.cumsum([len(p) for p in parts], out=offsets[1:])
+        values = np.concatenate([np.empty(0, dtype="<i4"), *parts])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int32()))
+        decoded = pa.array((bpe.decode(p.tolist()) for p in parts), type=pa.string())
+        return pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
+
+    return codec.asNondeterministic()(F.col(text_col) if isinstance(text_col, str) else text_col)
+
+
+def bpe_codec(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of ``text_col`` and the text that they decode to (both new names), in one pass."""
+    limit_batches(df.sparkSession, 250)
+    coded = df.withColumn("__coded", codec_column(text_col, path))
+    return coded.withColumns({ids: F.col("__coded.ids"), decoded: F.col("__coded.decoded")}).drop("__coded")
+
+
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text_col`` in ``into`` (a new name). Rows are encoded where they are: no shuffle."""
-    limit_batches(df.sparkSession)
+    limit_batches(df.sparkSession, 250)
     return df.withColumn(into, encode_column(text_col, path))
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the decoded text of ``ids_col`` in ``into`` (a new name)."""
-    limit_batches(df.sparkSession)
+    limit_batches(df.sparkSession, 250)
     return df.withColumn(into, decode_column(ids_col, path))
 
 

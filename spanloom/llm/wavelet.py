@@ -5,7 +5,8 @@ parted by their bit, zeros first. Counting an id in a prefix or finding its k-th
 plane. Files go through Spark's text writer (one record each) and come back through ``binaryFile``, so any store
 that Spark reaches will do.
 
-Layout: MAGIC, header length (4 bytes), JSON header, zstandard frames: doc ids, whether they are set, lengths, planes.
+A shard's file is a row of blocks, each a matrix of its own that fits a processor's cache while it is built.
+Layout of a block: MAGIC, header length (4 bytes), JSON header, zstandard frames: doc ids, whether they are set, lengths, planes.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from spanloom.llm.common import limit_batches, small_side, written
 MAGIC = b"WVMX1\n"
 #: Tokens from which a file is closed; a document is never split, so one very long one makes a larger file.
 FILE_TOKENS = 4_000_000
+#: Tokens from which a block is closed.
+BLOCK_TOKENS = 500_000
 END_ID = 1
 
 
@@ -39,14 +42,15 @@ class WaveletMatrix:
         top = int(ids.max()) if len(ids) else 0
         bits = max(1, top.bit_length())
         a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        one, planes = a.dtype.type(1), []
+        planes = []
         for level in range(bits - 1, -1, -1):
-            b = ((a >> a.dtype.type(level)) & one).astype(bool)
+            b = (a & a.dtype.type(1 << level)) != 0
             planes.append(np.packbits(b, bitorder="little"))
             if level:
                 parted = np.empty_like(a)
                 zeros = len(a) - np.count_nonzero(b)
-                parted[:zeros], parted[zeros:] = a[~b], a[b]
+                parted[zeros:] = a[b]
+                parted[:zeros] = a[np.logical_not(b, out=b)]
                 a = parted
         return cls(planes, len(ids))
 
@@ -127,14 +131,14 @@ class WaveletMatrix:
             b = self._bits(k).view(bool)
             zeros = self.n - np.count_nonzero(b)
             up = np.empty_like(values)
-            up[~b] = values[:zeros]
             up[b] = values[zeros:] | values.dtype.type(1 << (bits - 1 - k))
+            up[np.logical_not(b)] = values[:zeros]
             values = up
         return values
 
 
 def pack(part: int, piece: int, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file's bytes."""
+    """One block's bytes."""
     matrix = WaveletMatrix.build(ids)
     zstd = zstandard.ZstdCompressor(level=1)
     sections = [np.array([d or 0 for d in doc_ids], dtype="<i8"), np.array([d is not None for d in doc_ids], dtype=np.uint8), lengths.astype("<u4"), *matrix.planes]
@@ -143,11 +147,11 @@ def pack(part: int, piece: int, doc_ids: list[int | None], lengths: np.ndarray,
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *frames])
 
 
-def unpack(content: bytes) -> tuple[dict, list[int | None], np.ndarray, WaveletMatrix]:
-    """header, doc ids, lengths and the matrix of a file."""
-    if content[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a wavelet-matrix file")
-    at = len(MAGIC) + 4
+def unpack(content: bytes, at: int = 0) -> tuple[dict, list[int | None], np.ndarray, WaveletMatrix, int]:
+    """header, doc ids, lengths and the matrix of the block at ``at``, and where the block ends."""
+    if content[at : at + len(MAGIC)] != MAGIC:
+        raise ValueError("not a wavelet-matrix block")
+    at += len(MAGIC) + 4
     end = at + int.from_bytes(content[at - 4 : at], "little")
     header = json.loads(content[at:end])
     zstd, parts = zstandard.ZstdDecompressor(), []
@@ -157,10 +161,40 @@ def unpack(content: bytes) -> tuple[dict, list[int | None], np.ndarray, WaveletM
     set_ = np.frombuffer(parts[1], dtype=np.uint8)
     doc_ids = [int(d) if s else None for d, s in zip(np.frombuffer(parts[0], dtype="<i8"), set_)]
     planes = [np.frombuffer(p, dtype=np.uint8) for p in parts[3:]]
-    return header, doc_ids, np.frombuffer(parts[2], dtype="<u4"), WaveletMatrix(planes, header["tokens"])
+    return header, doc_ids, np.frombuffer(parts[2], dtype="<u4"), WaveletMatrix(planes, header["tokens"]), end
 
 
-def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> None:
+class ShardFile:
+    """Token access, counting and occurrence lookup over all blocks of one file."""
+
+    def __init__(self, content: bytes):
+        self.blocks, at = [], 0
+        while content[at : at + len(MAGIC)] == MAGIC:
+            *_, matrix, at = unpack(content, at)
+            self.blocks.append(matrix)
+
+    def __len__(self) -> int:
+        return sum(m.n for m in self.blocks)
+
+    def access(self, i: int) -> int:
+        for m in self.blocks:
+            if i < m.n:
+                return m.access(i)
+            i -= m.n
+        raise IndexError(i)
+
+    def count(self, value: int) -> int:
+        return sum(m.rank(value) for m in self.blocks)
+
+    def positions(self, value: int) -> list[int]:
+        out, at = [], 0
+        for m in self.blocks:
+            out += [at + i for i in m.positions(value)]
+            at += m.n
+        return out
+
+
+def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_tokens: int = FILE_TOKENS, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every whole text with the tokenizers library, append ``end_id``, and write files in ascending id order.
 
     Range partitions of (id, text) are sorted and streamed: a task holds one open file's ids at most. Null texts count
@@ -173,48 +207,55 @@ def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str =
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = load(tokenizer_path, True), end_id.to_bytes(4, "little")
-        part, piece = TaskContext.get().partitionId(), 0
+        part, piece, held, kept = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int | None] = []
         parts: list[bytes] = []
-        held = 0
+        blocks: list[bytes] = []
 
-        def closed() -> pa.RecordBatch:
+        def block() -> bytes:
             lengths = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-            ids = np.frombuffer(b"".join(parts), dtype="<u4")
-            return pa.RecordBatch.from_arrays([pa.array([pack(part, piece, doc_ids, lengths, ids)], type=pa.binary())], names=["value"])
+            return pack(part, piece, doc_ids, lengths, np.frombuffer(b"".join(parts), dtype="<u4"))
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(blocks)], type=pa.binary())], names=["value"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 parts.append(bpe.encode(text.as_py()) + end)
                 doc_ids.append(doc_id)
                 held += len(parts[-1]) // 4
-                if held >= file_tokens:
-                    yield closed()
-                    piece, doc_ids, parts, held = piece + 1, [], [], 0
+                if held >= min(block_tokens, file_tokens):
+                    blocks.append(block())
+                    piece, kept, held, doc_ids, parts = piece + 1, kept + held, 0, [], []
+                    if kept >= file_tokens:
+                        yield file()
+                        kept, blocks = 0, []
         if parts:
-            yield closed()
+            blocks.append(block())
+        if blocks:
+            yield file()
 
     packed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(files, "value binary")
     packed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(target)
 
 
 def read_tokens(spark: SparkSession, target: str) -> DataFrame:
-    """part, piece, doc_id, at (tokens of the file before the document), n_tokens, ids (little-endian 32-bit)."""
+    """part, piece (block), doc_id, at (tokens of the block before the document), n_tokens, ids (little-endian 32-bit)."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                header, doc_ids, lengths, matrix = unpack(content.as_py())
-                tokens = matrix.tokens().astype("<u4")
-                ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                for k in range(0, len(doc_ids), 500):
-                    ids = doc_ids[k : k + 500]
-                    spans = list(zip(ends[k : k + len(ids)].tolist(), ends[k + 1 : k + 1 + len(ids)].tolist()))
+                content, at = content.as_py(), 0
+                while content[at : at + len(MAGIC)] == MAGIC:
+                    header, doc_ids, lengths, matrix, at = unpack(content, at)
+                    tokens = matrix.tokens().astype("<u4")
+                    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+                    spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([header["part"]] * len(ids), type=pa.int32()),
-                            pa.array([header["piece"]] * len(ids), type=pa.int32()),
-                            pa.array(ids, type=pa.int64()),
+                            pa.array([header["part"]] * len(spans), type=pa.int32()),
+                            pa.array([header["piece"]] * len(spans), type=pa.int32()),
+                            pa.array(doc_ids, type=pa.int64()),
                             pa.array([a for a, _ in spans], type=pa.int64()),
                             pa.array([b - a for a, b in spans], type=pa.int64()),
                             pa.array([tokens[a:b].tobytes() for a, b in spans], type=pa.binary()),
@@ -230,7 +271,7 @@ def read_tokens(spark: SparkSession, target: str) -> DataFrame:
 def with_starts(docs: DataFrame) -> DataFrame:
     """``docs`` (a written projection of :func:`read_tokens`) with ``start``, the ids of all documents before each.
 
-    Sums run per file, then over the files of a part, then over the parts: no window sees more than a part's files or
+    Sums run per block, then over the blocks of a part, then over the parts: no window sees more than a part's blocks or
     one row a part.
     """
     files = docs.groupBy("part", "piece").agg(F.sum("n_tokens").alias("tokens"))

@@ -104,6 +104,9 @@ def test_bpe_of_odd_rows(spark):
         want = tok.encode(r.text or "", add_special_tokens=False).ids
         assert r.coded == want and r.back == tok.decode(want, skip_special_tokens=False)
     assert bpe.bpe_encode(odd_frame(spark).limit(0), path, into="coded").count() == 0
+    both = bpe.bpe_codec(odd_frame(spark), path, ids="coded", decoded="back").collect()
+    assert sorted(map(tuple, both), key=repr) == sorted(map(tuple, out), key=repr)
+    assert bpe.bpe_codec(odd_frame(spark).limit(0), path, ids="coded").count() == 0
 
 
 def test_bpe_of_random_texts():
@@ -170,6 +173,10 @@ def test_wavelet_of_odd_rows_in_small_files(spark, tmp_path):
     wavelet.write_tokens(odd_frame(spark), path, target, file_tokens=50)
     docs = wavelet.read_tokens(spark, target)
     assert docs.select("part", "piece").distinct().count() > 4
+    files = [wavelet.ShardFile(bytes(r.content)) for r in spark.read.format("binaryFile").load(target).collect() if r.content]
+    ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in wavelet.with_starts(docs).orderBy("start").collect()])
+    assert len(files) > 1 and sum(map(len, files)) == len(ids) and sum(f.count(1) for f in files) == (ids == 1).sum()
+    assert all([f.access(i) for i in f.positions(1)] == [1] * f.count(1) for f in files)
     found = wavelet.with_starts(docs).orderBy("start").collect()
     assert len(found) == len(ODD) + 3 and found[-1].doc_id is None
     ids = [r.doc_id for r in found[:-1]]
