@@ -28,8 +28,12 @@ RULES = [
 TOKEN_TYPES = [name for name, _ in RULES]
 ANY_TOKEN = "|".join(p for _, p in RULES)
 PIECE = rf"[^\S\n\r]*(?:{ANY_TOKEN})"
+#: The same for Java, without backtracking where it cannot help.
+_PIECE = "(?U)" + PIECE.replace(r"[^\S\n\r]*", r"[^\S\n\r]*+", 1).replace("_.+-]+@", "_.+-]++@")
+#: White space but line ends: what a piece may start with.
+SKIPPED = "\t\x0b\x0c \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Tokens of a block of the running sums.
-BLOCK = 256
+BLOCK = 64
 
 FORM = "struct<lemma:string,grams:array<string>,lemma_id:bigint,form:string>"
 TOKEN = f"struct<idx:int,value:string,token_type:string,byte_start:int,byte_stop:int,char_start:int,char_stop:int,forms:array<{FORM}>,tag:string>"
@@ -86,11 +90,14 @@ def fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def with_tokens(df: DataFrame, text_col: str = "text", into: str = "tokens") -> DataFrame:
     """``df`` with ``into``, an array of TOKEN; null text gives null, empty text an empty array. forms and tag are null."""
-    pieces = fixed(df, {"__pieces": F.regexp_extract_all(F.col(text_col), F.lit(_lit(PIECE)), F.lit(0))})
+    text = F.col(text_col)
+    pieces = fixed(df, {"__pieces": F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))})
+    pieces = fixed(pieces, {"__stops": running(F.transform("__pieces", lambda p: F.octet_length(p)))})
+    one_byte = F.octet_length(text) == F.char_length(text)  # then both kinds of spans are the same
     parts = F.arrays_zip(
-        F.transform("__pieces", lambda p: F.regexp_replace(p, F.lit(r"(?U)\A[^\S\n\r]+"), F.lit(""))).alias("value"),
-        running(F.transform("__pieces", lambda p: F.octet_length(p))).alias("byte_stop"),
-        running(F.transform("__pieces", lambda p: F.char_length(p))).alias("char_stop"),
+        F.transform("__pieces", lambda p: F.ltrim(p, F.lit(SKIPPED))).alias("value"),
+        F.col("__stops").alias("byte_stop"),
+        F.when(one_byte, F.col("__stops")).otherwise(running(F.transform("__pieces", lambda p: F.char_length(p)))).alias("char_stop"),
     )
 
     def token(z: Column, i: Column) -> Column:
@@ -103,7 +110,7 @@ def with_tokens(df: DataFrame, text_col: str = "text", into: str = "tokens") ->
         )
 
     parted = fixed(pieces, {"__parts": parts.cast("array<struct<`0`:string,`1`:int,`2`:int>>")})
-    return fixed(parted, {into: F.transform("__parts", token)}).drop("__pieces", "__parts")
+    return fixed(parted, {into: F.transform("__parts", token)}).drop("__pieces", "__stops", "__parts")
 
 
 def token_rows(df: DataFrame, keep: list[str], tokens_col: str = "tokens") -> DataFrame:
