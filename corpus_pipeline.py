@@ -38,8 +38,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the digest of the text that the ids decode to."""
-    path = tokenizer_path()
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = bpe.bpe_codec(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
