@@ -16,6 +16,7 @@ from spanloom.operators.gazetteer import caseless_pipeline, gazetteer_spans, mor
 from spanloom.operators.relations import gnc_relation, number_relation
 from spanloom.plans.grammar import compile_grammar, forward, or_, pred, rule, term
 from spanloom.sources import lexicon as lex
+from spanloom.sources.texts import spread
 
 latin, title, lower, punct = (pred(x) for x in (P.is_token_type("Latin"), P.is_title(), P.is_lower(), P.is_token_type("Punct")))
 number, email, phone, domain = (pred(P.is_token_type(x)) for x in ("Int", "Email", "Phone", "Domain"))
@@ -32,17 +33,17 @@ PHRASES = ["the", "of the", "in the", "of", "is not", "re", "and the", "of", "fo
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as short documents."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return spread(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ _COUNTS = f"WITH {_tokens('documents')} SELECT d.lang, t.token_type, count(*) AS
 
 @query("token_counts_by_type_lang", _COUNTS)
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
+    docs = with_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")))
     rows = token_rows(docs, ["lang"])
     return rows.groupBy("lang", "token_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("byte_stop") - F.col("byte_start")).alias("bytes"))
 

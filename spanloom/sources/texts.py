@@ -24,6 +24,12 @@ def table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
     return spark.read.format(format).load(path).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents over all cores: a scan of fewer partitions than cores (one small file) is dealt out, others stay."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def pretokenised(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents with a tokens array from one row a token (key, idx, value, token_type, byte and char spans)."""
     need = ["idx", "value", "token_type", "byte_start", "byte_stop", "char_start", "char_stop"]
