@@ -66,7 +66,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = raw_table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs, tokenizer_path()), tokenizer_path())
+    coded = bpe.bpe_codec(docs, tokenizer_path())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
