@@ -102,8 +102,9 @@ def links(prints: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """doc_id, text_hash, fp (signed), component_id for each row of ``df``; texts are read once.
+    """doc_id, text_hash, fp (signed), root, component_id for each row of ``df``; texts are read once.
 
+    root is the least fingerprint of the component and names it: unlinked components can share a component_id.
     component_id is the smallest doc_id that links reach; rows without doc_id take part, and have component_id
     null only if no row that they reach has one. Null and empty texts have fingerprint 0 and link like any other.
     Repeated rows have equal fingerprints and so the same component. An empty table gives no rows.
@@ -116,18 +117,16 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     nodes = written(nodes, "components")
     rooted = slim.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", "text_hash", "fp", "component_id")
+    return rooted.join(least, "root").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """``df`` with one document of each group: the one whose doc_id is the component's.
+    """``df`` with one document of each group: the one with the least doc_id, rows without doc_id last.
 
-    If several rows have that doc_id, the one with the least text hash stays. Rows in a component without any
-    doc_id keep one row each component.
+    If several rows of a group have that doc_id, the one with the least text hash stays.
     """
-    groups = written(near_groups(df, id_col, text_col, hot_bucket=hot_bucket).select("doc_id", "text_hash", "component_id"), "groups")
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("c")).agg(F.min("text_hash").alias("least"))
-    decided = groups.join(first, F.col("component_id").eqNullSafe(F.col("c")), "left")
-    keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("least"))
-    decided = decided.select("doc_id", "text_hash", keep.alias("keep"))
+    groups = written(near_groups(df, id_col, text_col, hot_bucket=hot_bucket).select("doc_id", "text_hash", "root"), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = groups.groupBy("root").agg(F.min(place).alias("first"))
+    decided = groups.join(first, "root").select("doc_id", "text_hash", (place == F.col("first")).alias("keep"))
     return keep_by_key(df, {"doc_id": F.col(id_col), "text_hash": F.xxhash64(F.col(text_col))}, decided, "near")

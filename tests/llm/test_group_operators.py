@@ -134,6 +134,14 @@ def test_near_of_odd_rows(spark):
     assert simhash_dedup.drop_near_copies(only_null).count() == 1
 
 
+def test_near_keeps_one_row_of_each_component(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (5, d), (5, e), (9, d)]
+    kept = simhash_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(None, a), (None, b), (5, c), (5, d), (5, e)], key=repr)
+
+
 # lines
 
 
