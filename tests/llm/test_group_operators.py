@@ -224,6 +224,12 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_a_line_that_fills_the_top_counter(spark):
+    line = "same " * 40_000
+    out = line_dedup.line_dedup(spark.createDataFrame([(1, line), (2, line)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.clean_text for r in out} == {1: line, 2: ""}
+
+
 # sharding
 
 
