@@ -80,7 +80,7 @@ def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = raw_table(spark, sf_dir, "documents").select("doc_id", "text")
-    clean = line_dedup.line_dedup(docs)
+    clean = line_dedup.line_dedup(docs, shingles=line_dedup.SHINGLES)
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return clean.select("doc_id", lines.alias("n_lines"), F.col("clean_text_dropped").alias("n_dropped"), F.sha2("clean_text", 256).alias("clean_sha256"))
 

@@ -230,6 +230,21 @@ def test_a_line_that_fills_the_top_counter(spark):
     assert {r.doc_id: r.clean_text for r in out} == {1: line, 2: ""}
 
 
+def test_lines_with_one_word_replaced(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(5, 7)))
+    rows, n = [], 60
+    for i in range(n):
+        words = [word() for _ in range(rng.randint(8, 30))]
+        other = list(words)
+        other[rng.randrange(len(words))] = word()
+        rows += [(i, " ".join(words)), (n + i, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dropped_lines(df, shingles=line_dedup.SHINGLES).collect()}
+    assert gone <= set(range(n, 2 * n)) and len(gone) >= 0.95 * n
+    assert len(line_dedup.dropped_lines(df).collect()) < 0.5 * n  # MAX_BITS alone
+
+
 # sharding
 
 
