@@ -245,6 +245,13 @@ def test_lines_with_one_word_replaced(spark):
     assert len(line_dedup.dropped_lines(df).collect()) < 0.5 * n  # MAX_BITS alone
 
 
+def test_short_lines_go_by_equality(spark):
+    rows = [(1, "Read more\n\n--\nchapter 10"), (2, "read  MORE!\n\n--\nchapter 11"), (3, "read mores\nRead more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.clean_text for r in line_dedup.line_dedup(df, shingles=line_dedup.SHINGLES).collect()}
+    assert out == {1: rows[0][1], 2: "\n--\nchapter 11", 3: "read mores"}
+
+
 # sharding
 
 
