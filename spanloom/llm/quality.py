@@ -23,17 +23,18 @@ RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 @dataclass(frozen=True)
 class Bands:
-    """``limits``: (bytes from which it holds, least ratio, greatest ratio), by rising length. Chunks have one band.
+    """``limits``: (bytes from which it holds, least ratio, greatest ratio), by rising length. Full chunks have one band.
 
-    A document is rejected if its whole ratio is outside the band of its length, or if over ``bad_share`` of its full
-    chunks are outside the chunk band. Texts below the first length are judged by the base rules alone.
+    A document is rejected if its whole ratio is outside the band of its length, or if chunks with over ``bad_share`` of
+    its bytes are outside theirs; the rest after the full chunks has the band of its length. Texts and rests below
+    the first length have none. The limits leave room around clean prose (README) and are over the ratio of base64.
     """
 
     level: int = 3
     chunk_bytes: int = 4096
-    limits: tuple[tuple[int, float, float], ...] = field(default=((128, 1.02, 4.0), (512, 1.15, 4.5), (2048, 1.35, 5.0), (8192, 1.45, 5.5), (32768, 1.5, 7.0)))
-    chunk_limits: tuple[float, float] = (1.25, 5.0)
-    bad_share: float = 0.5
+    limits: tuple[tuple[int, float, float], ...] = field(default=((128, 1.05, 2.5), (256, 1.25, 2.5), (512, 1.4, 2.8), (1024, 1.5, 3.1), (2048, 1.55, 3.3), (8192, 1.6, 3.6), (32768, 1.6, 4.0)))
+    chunk_limits: tuple[float, float] = (1.5, 3.3)
+    bad_share: float = 0.2
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -75,6 +76,11 @@ def repeated_lines(text: str) -> int:
     return found
 
 
+def _inside(ratio: float, size: int, limits: tuple[tuple[int, float, float], ...]) -> bool:
+    band = next(((low, high) for least, low, high in reversed(limits) if size >= least), None)
+    return band is None or band[0] <= ratio <= band[1]
+
+
 def judge(text: str | None, bands: Bands, zstd: zstandard.ZstdCompressor) -> tuple:
     """The values of RESULT for one text; null is the empty text."""
     text = text or ""
@@ -88,12 +94,11 @@ def judge(text: str | None, bands: Bands, zstd: zstandard.ZstdCompressor) -> tup
     ratio = size / len(zstd.compress(raw)) if size else None
     step = bands.chunk_bytes
     chunks = [step / len(zstd.compress(raw[i : i + step])) for i in range(0, size - step + 1, step)]
-    good = True
-    band = next(((low, high) for least, low, high in reversed(bands.limits) if size >= least), None)
-    if band:
-        good = band[0] <= ratio <= band[1]
-        outside = sum(not bands.chunk_limits[0] <= x <= bands.chunk_limits[1] for x in chunks)
-        good = good and outside <= bands.bad_share * len(chunks)
+    outside = step * sum(not bands.chunk_limits[0] <= x <= bands.chunk_limits[1] for x in chunks)
+    rest = raw[len(chunks) * step :]
+    if chunks and rest and not _inside(len(rest) / len(zstd.compress(rest)), len(rest), bands.limits):
+        outside += len(rest)
+    good = not size or _inside(ratio, size, bands.limits) and outside <= bands.bad_share * size
     return n, chars, symbols, repeated_lines(text), repeats, ratio, min(chunks, default=None), max(chunks, default=None), failed, good and not failed
 
 

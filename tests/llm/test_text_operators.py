@@ -1,5 +1,6 @@
 """Quality rules, token counts, BPE and wavelet files against brute force and round trips."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -124,6 +125,19 @@ def test_merge_takes_leftmost_lowest_rank():
     assert bpe.merge_word([1, 1, 1, 1, 5], ranks, merged, 10) == [2, 2, 5]
 
 
+def test_bands_reject_what_the_base_rules_keep():
+    zstd, bands, rng = zstandard.ZstdCompressor(level=3), quality.Bands(), np.random.default_rng(4)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(2000)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    coded = lambda n: re.sub("(.{8})", r"\1 ", base64.b64encode(rng.bytes(n)).decode())
+    block = prose(20)
+    bad = [coded(n) for n in (400, 800, 1500, 3000, 30_000)] + [prose(700) + " " + coded(2000), prose(430) + (" " + block) * 21]
+    for text in bad:
+        assert quality.judge(text, bands, zstd)[-2:] == (False, False)
+    for n in (60, 150, 300, 700, 2000, 20_000):
+        assert quality.judge(prose(n), bands, zstd)[-2:] == (False, True)
+
+
 def test_token_histogram(spark):
     tok, path = library(), queries.tokenizer_path()
     lengths = [len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
