@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import cmp_to_key
 
 from spanloom.functions.spans import resolve_local
-from spanloom.operators.facts import Interpreter, Record
+from spanloom.operators.facts import Interpreter, Record, flat_facts
 from spanloom.operators.relations import narrow
 from spanloom.plans.grammar import Compiled, Symbol
 
@@ -29,14 +29,15 @@ class Tree:
     line: str | None = None
 
     def leaves(self) -> list[Tree]:
-        if self.symbol is None:
-            return [self]
-        return [x for c in self.children for x in c.leaves()]
+        return [x for x in self.walk() if x.symbol is None]
 
     def walk(self):
-        yield self
-        for c in self.children:
-            yield from c.walk()
+        """All nodes, each before its children; repeats make trees deep, so there is no recursion here."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo.extend(reversed(node.children))
 
 
 def compare(a: Tree, b: Tree) -> int:
@@ -111,6 +112,7 @@ class Machine:
         self.bit = {predicate: 1 << i for i, predicate in enumerate(compiled.predicates)}
         self.phrases = {s.number: Phrases(s.gazetteer) for s in compiled.symbols if s.gazetteer}
         self.first = self._first_masks()
+        self.flat = flat_facts(compiled)
 
     def _first_masks(self) -> list[int]:
         """Bits that can start each symbol; -1 if a phrase can."""
@@ -194,6 +196,51 @@ class Machine:
         return found
 
 
+def lengths(compiled: Compiled) -> dict[int, tuple[int, float]]:
+    """The least and the greatest number of tokens of each rule."""
+    out = {s.number: (float("inf"), 0.0) for s in compiled.symbols}
+    for _ in range(len(compiled.symbols) + 1):
+        for s in compiled.symbols:
+            sizes = [[out[x.number] if isinstance(x, Symbol) else (1, 1) for x in q] for q in s.productions]
+            out[s.number] = (min((sum(a for a, _ in q) for q in sizes), default=1), max((sum(b for _, b in q) for q in sizes), default=1))
+    grown = dict(out)
+    for s in compiled.symbols:  # what still grows has no greatest length
+        sizes = [sum(grown[x.number][1] if isinstance(x, Symbol) else 1 for x in q) for q in s.productions]
+        if max(sizes, default=1) > out[s.number][1]:
+            out[s.number] = (out[s.number][0], float("inf"))
+    return out
+
+
+def derive(compiled: Compiled, sizes: dict[int, tuple[int, float]], start: int, stop: int) -> Tree | None:
+    """The tree of a range that is known to match, for grammars where lengths alone decide the derivation, such as a
+    repeated token; None where they do not. Linear in the range, while a chart of a repeat holds all stretches in it."""
+    root = Tree(compiled.root, 0, start, stop, ())
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        n, made = node.stop - node.start, None
+        for rank, q in enumerate(node.symbol.productions):
+            bounds = [sizes[x.number] if isinstance(x, Symbol) else (1, 1) for x in q]
+            free = [i for i, (a, b) in enumerate(bounds) if a != b]
+            least = sum(a for a, _ in bounds)
+            if not q or not least <= n <= sum(b for _, b in bounds):
+                continue
+            if len(free) > 1:
+                return None
+            at, children = node.start, []
+            for i, (x, (a, _)) in enumerate(zip(q, bounds)):
+                end = at + a + (n - least if i in free else 0)
+                children.append(Tree(x, 0, at, end, ()) if isinstance(x, Symbol) else Tree(None, 0, at, end, (), x))
+                at = end
+            made = rank, children
+            break
+        if made is None or node.symbol.gazetteer:
+            return None
+        node.rank, node.children = made[0], tuple(made[1])
+        todo += [c for c in made[1] if c.symbol is not None and c.stop > c.start]
+    return root
+
+
 # trees to matches
 
 
@@ -303,6 +350,7 @@ class Match:
     tokens: list
     forms: dict
     paradigms: dict
+    flat: bool = False
 
     @property
     def range(self) -> tuple[int, int]:
@@ -321,7 +369,7 @@ class Match:
         return Texts(self.tokens, self.forms, self.paradigms).text(self.tree)
 
     def facts(self) -> list[Record]:
-        return Interpreter(Texts(self.tokens, self.forms, self.paradigms)).facts(self.tree)
+        return Interpreter(Texts(self.tokens, self.forms, self.paradigms), self.flat).facts(self.tree)
 
     def fact(self) -> Record | None:
         """The record of the root, or of the first fact below it."""
@@ -351,7 +399,7 @@ def matches(machine: Machine, verb: str, hits: list[int], tokens: list, paradigm
         forms = agreed(tree, tokens)
         if forms is not None:
             ranges.add((tree.start, tree.stop))
-            out.append(Match(tree, tokens, forms, paradigms or {}))
+            out.append(Match(tree, tokens, forms, paradigms or {}, machine.flat))
     if verb == "extract":
         return out
     if verb in ("match", "parse"):

@@ -1,36 +1,38 @@
-"""The query verbs over DataFrames of documents, with three physical strategies.
+"""The query verbs over DataFrames of documents, with four physical strategies.
 
+* ``vector``: one Arrow pass over the texts, tokens and matches as arrays (:mod:`spanloom.operators.columnar`); the chart runs
+  over stretches that can hold a match, where a grammar needs trees. No shuffle, also on streams. The fastest plan for
+  all grammars.
 * ``array``: a grammar that unfolds into few sequences of predicates, or repeats one predicate at its root, is evaluated
-  inside each row with higher-order functions: no shuffle, no Python, also on streams.
+  inside each row with higher-order functions: no shuffle and no Python workers, also on streams.
 * ``relational``: rules become tables of (key, start, stop); a sequence is an equi-join on adjacency, alternatives are
   unions, a repeated predicate is found by gaps and islands. Only tokens that a predicate accepts leave their row.
-* ``chart``: everything else (recursion, agreement, facts, gazetteers). Predicates are still evaluated natively; Python
-  gets one bit set a token in Arrow batches, and only documents that contain a token which can start a match.
+* ``chart``: as ``vector``, but every match comes from a tree.
+
+``auto`` keeps to the JVM where it can (``array``) and takes ``vector`` else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.errors import GrammarError
 from spanloom.functions.spans import resolve
-from spanloom.functions.tokens import Token, fixed, join_with_gaps, running, with_tokens
-from spanloom.operators.chart import Machine, matches
+from spanloom.functions.tokens import fixed, join_with_gaps, running, with_tokens
+from spanloom.operators.columnar import WORD_BITS, Plan, by_value, worker
 from spanloom.operators.facts import Scheme, check_fields
 from spanloom.plans import grammar as g
 from spanloom.plans.grammar import Compiled, Symbol, compile_grammar
-from spanloom.sources.lexicon import with_forms, with_paradigms
+from spanloom.sources.lexicon import in_memory, with_forms, with_paradigms
 
 #: Sequences and their length up to which a grammar is evaluated inside the row.
 MAX_SEQUENCES, MAX_LENGTH = 64, 12
-WORD_BITS = 62
 MATCH_FIELDS = "match_no int, tok_start int, tok_stop int, byte_start int, byte_stop int, text string, values array<string>"
-FACT_FIELDS = "match_no int, fact_no int, name string, fields string, spans array<struct<start:int,stop:int>>"
+FACT_FIELDS = "match_no int, fact_no int, name string, fields string, spans array<struct<start:int,stop:int>>, tok_start int, tok_stop int"
 
 
 def unfold(compiled: Compiled) -> list[tuple] | None:
@@ -63,15 +65,11 @@ def _bits_of(part: list) -> Callable[[Column], Column]:
     return lambda t: reduce(lambda a, b: a + b, [F.when(p.column(t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(part)], F.lit(0).cast("long"))
 
 
-def _has_bits(wanted: int) -> Callable[[Column], Column]:
-    return lambda m: m.bitwiseAND(F.lit(wanted)) != 0
-
-
 class Parser:
     """A grammar with its tokenisation, lexicon and tagger, and the verbs that run it over documents.
 
     ``lexicon``: a lexicon table; tokens of ``types`` get its forms. ``tagger``: a function from a token array column to a
-    token array column. ``engine``: auto, array, relational or chart. ``key``: a column that is unique by document.
+    token array column. ``engine``: auto, vector, array, relational or chart. ``key``: a column that is unique by document.
     """
 
     def __init__(self, grammar: g.Node, lexicon: DataFrame | None = None, types=("Russian",), tagger: Callable[[Column], Column] | None = None, engine: str = "auto", key: str = "doc_id"):
@@ -81,6 +79,7 @@ class Parser:
         self.lexicon, self.types, self.tagger, self.engine, self.key = lexicon, tuple(types), tagger, engine, key
         self.sequences = unfold(self.compiled)
         self.run = self._root_run()
+        self._memory: tuple | None = None
         self._inflects = any(a.mode == "inflected" for a in self.compiled.wrappers("attribute"))
 
     # planning
@@ -94,14 +93,14 @@ class Parser:
         if not (isinstance(node, g.OptionalRepeat) or isinstance(node, g.Repeat) and node.high is None):
             return None
         inner = node.inner
-        while isinstance(inner, g.Alternatives) and len(inner.sequences) == 1 and len(inner.sequences[0]) == 1:
-            inner = inner.sequences[0][0]
+        while isinstance(inner, g.Wrapper) and inner.kind != "relation" or isinstance(inner, g.Alternatives) and len(inner.sequences) == 1 and len(inner.sequences[0]) == 1:
+            inner = inner.inner if isinstance(inner, g.Wrapper) else inner.sequences[0][0]
         return (inner.predicate, getattr(node, "low", None) or 1) if isinstance(inner, g.Terminal) else None
 
     def strategy(self, verb: str = "findall", facts: bool = False) -> str:
         native = (self.sequences is not None or self.run and verb != "match") and len(self.compiled.predicates) <= WORD_BITS and not self.compiled.wrappers("relation")
         if self.engine == "auto":
-            return "array" if native and not facts and verb in ("findall", "find", "match") else "chart"
+            return "array" if native and not facts and verb in ("findall", "find", "match") else "vector"
         if self.engine == "array" and (not native or facts or verb not in ("findall", "find", "match")):
             raise GrammarError("this grammar or verb has no array plan")
         if self.engine == "relational" and (facts or verb not in ("findall", "extract") or self.compiled.wrappers("relation")):
@@ -110,9 +109,9 @@ class Parser:
 
     # preparation
 
-    def prepare(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    def prepare(self, docs: DataFrame, text_col: str = "text", native: bool = False) -> DataFrame:
         """key and tokens (and paradigms): tokenised unless ``docs`` has tokens, with forms and the tagger applied."""
-        out = docs if "tokens" in docs.columns else with_tokens(docs.select(self.key, text_col), text_col)
+        out = docs if "tokens" in docs.columns else with_tokens(docs.select(self.key, text_col), text_col, native=native)
         out = out.select(self.key, "tokens").filter(F.col("tokens").isNotNull())
         if self.lexicon is not None:
             out = with_forms(out, self.lexicon, self.types, self.key)
@@ -129,18 +128,6 @@ class Parser:
             prepared = fixed(prepared, {names[-1]: F.transform("tokens", _bits_of(part))})
         return prepared, names
 
-    def _with_first(self, masked: DataFrame, names: list[str]) -> DataFrame:
-        """Documents with at least one token that can start a match."""
-        first = self.compiled.first()
-        if any(isinstance(x, g.Gazetteer) for x in first):
-            return masked
-        wanted = [0] * len(names)
-        for x in first:
-            i = self.compiled.predicates.index(x)
-            wanted[i // WORD_BITS] |= 1 << i % WORD_BITS
-        tests = [F.exists(name, _has_bits(w)) for name, w in zip(names, wanted) if w]
-        return masked.filter(reduce(lambda a, b: a | b, tests, F.lit(False)))
-
     # verbs
 
     def findall(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -171,22 +158,21 @@ class Parser:
 
     def _matches(self, docs: DataFrame, verb: str, text_col: str) -> DataFrame:
         plan = self.strategy(verb)
-        prepared = self.prepare(docs, text_col)
         if plan == "array":
-            return self._array(prepared, verb)
+            return self._array(self.prepare(docs, text_col, native=True), verb)
         if plan == "relational":
-            return self._relational(prepared, verb)
-        return self._chart(prepared, verb, facts=False)
+            return self._relational(self.prepare(docs, text_col), verb)
+        return self._vector(docs, text_col, verb, "matches", plan == "chart")
 
     def facts(self, docs: DataFrame, verb: str = "findall", text_col: str = "text") -> DataFrame:
-        """key and FACT_FIELDS: all facts of the matches, outer ones first; ``fields`` is JSON in the scheme's order."""
+        """key and FACT_FIELDS: all facts of the matches, outer ones first; ``fields`` is JSON in the scheme's order, and
+        tok_start and tok_stop are the range of the match."""
         self.strategy(verb, facts=True)
-        return self._chart(self.prepare(docs, text_col), verb, facts=True)
+        return self._vector(docs, text_col, verb, "facts")
 
     def chart(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Debugging: every completed tree as nested text."""
-        prepared = self.prepare(docs, text_col)
-        return self._chart(prepared, "extract", facts=False, show=True)
+        return self._vector(docs, text_col, "extract", "trees")
 
     # array plan
 
@@ -293,60 +279,25 @@ class Parser:
         rows = numbered.withColumnsRenamed({"start": "tok_start", "stop": "tok_stop"}).join(prepared.select(key, "tokens"), key)
         return self._described(rows)
 
-    # chart plan
-
-    def _chart(self, prepared: DataFrame, verb: str, facts: bool, show: bool = False) -> DataFrame:
-        spark, key = prepared.sparkSession, self.key
-        if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        masked, names = self._masks(prepared)
-        masked = self._with_first(masked, names)
-        paradigms = F.col("paradigms") if "paradigms" in masked.columns else F.lit(None).alias("paradigms")
-        sent = masked.select(F.col(key).alias("__key"), "tokens", F.array(*names).alias("masks") if names else F.lit(None), paradigms.cast("array<struct<lemma_id:bigint,rank:int,form:string,grams:array<string>>>").alias("paradigms"))
-        key_type = prepared.schema[key].dataType.simpleString()
-        fields = "tree string" if show else FACT_FIELDS if facts else MATCH_FIELDS
-        out = sent.mapInArrow(_worker(self.compiled, verb, facts, show), f"__key {key_type}, {fields}")
-        return out.withColumnRenamed("__key", key)
-
-
-def _worker(compiled: Compiled, verb: str, facts: bool, show: bool):
-    """The Arrow function: documents in, rows of matches or facts out."""
-    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    if show:
-        columns = [("tree", pa.string())]
-    elif facts:
-        columns = [("match_no", pa.int32()), ("fact_no", pa.int32()), ("name", pa.string()), ("fields", pa.string()), ("spans", span)]
-    else:
-        columns = [("match_no", pa.int32()), ("tok_start", pa.int32()), ("tok_stop", pa.int32()), ("byte_start", pa.int32()), ("byte_stop", pa.int32()), ("text", pa.string()), ("values", pa.list_(pa.string()))]
-
-    def render(tree) -> str:
-        if tree.symbol is None:
-            return str(tree.start)
-        return f"({tree.symbol.number}.{tree.rank} {' '.join(render(c) for c in tree.children)})"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(compiled, all_trees=facts or show or verb != "findall" or bool(compiled.wrappers("relation")))
-        for batch in batches:
-            schema = pa.schema([("__key", batch.schema.field(0).type), *columns])
-            rows: list[tuple] = []
-            for key, tokens, masks, paradigms in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
-                hits = masks[0] if len(masks) == 1 else [sum(m << WORD_BITS * k for k, m in enumerate(ms)) for ms in zip(*masks)]
-                listed = [Token(t["value"], t["token_type"], t["byte_start"], t["byte_stop"], t["char_start"], t["char_stop"], t["forms"], t["tag"], t["idx"]) for t in tokens.as_py()]
-                known: dict[int, list[dict]] = {}
-                for p in paradigms.as_py() or ():
-                    known.setdefault(p["lemma_id"], []).append(p)
-                for i, m in enumerate(matches(machine, verb, hits, listed, known)):
-                    if show:
-                        rows.append((key, render(m.tree)))
-                    elif facts:
-                        for k, r in enumerate(m.facts()):
-                            rows.append((key, i, k, r.name, r.fields_json(), [{"start": a, "stop": b} for a, b in r.spans]))
-                    else:
-                        rows.append((key, i, *m.range, *m.span, m.text, m.values))
-            arrays = [pa.array([r[c] for r in rows], type=f.type) for c, f in enumerate(schema)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    return run
+    # vector and chart plan
+
+    def _vector(self, docs: DataFrame, text_col: str, verb: str, what: str, trees: bool = False) -> DataFrame:
+        key, words = self.key, None
+        if self.lexicon is not None and not self.tagger and "tokens" not in docs.columns:
+            words = self._memory = self._memory or in_memory(self.lexicon)
+        fused = "tokens" not in docs.columns and not self.tagger and (self.lexicon is None or words) and all(map(by_value, self.compiled.predicates))
+        forms, paradigms = words if fused and words else (None, None)
+        unfolds = not trees and len(self.compiled.predicates) <= WORD_BITS
+        plan = Plan(self.compiled, verb, what, self.sequences if unfolds else None, self.run if unfolds else None, forms, paradigms if self._inflects else None, self.types, "text" if fused else "tokens")
+        if fused:
+            sent = docs.select(F.col(key).alias("__key"), F.col(text_col).alias("text"))
+        else:
+            masked, names = self._masks(self.prepare(docs, text_col))
+            own = F.col("paradigms") if "paradigms" in masked.columns else F.lit(None)
+            sent = masked.select(F.col(key).alias("__key"), "tokens", F.array(*names).alias("masks"), own.cast("array<struct<lemma_id:bigint,rank:int,form:string,grams:array<string>>>").alias("paradigms"))
+        fields = {"trees": "tree string", "facts": FACT_FIELDS, "matches": MATCH_FIELDS}[what]
+        key_type = docs.schema[key].dataType.simpleString()
+        return sent.mapInArrow(worker(plan), f"__key {key_type}, {fields}").withColumnRenamed("__key", key)
 
 
 # sinks

@@ -149,8 +149,10 @@ class _Found:
         """Lists grow if either side is one; otherwise the later value holds."""
         old = self.values.get(name)
         if repeated or isinstance(old, list) or isinstance(value, list):
-            listed = lambda v: [] if v is None else v if isinstance(v, list) else [v]
-            self.values[name] = listed(old) + listed(value)
+            listed = lambda v: [] if v is None else list(v) if isinstance(v, list) else [v]
+            if not isinstance(old, list):
+                self.values[name] = old = listed(old)
+            old.extend(listed(value))
         else:
             self.values[name] = value
 
@@ -173,8 +175,9 @@ def _record(name: str, scheme: Scheme | None, found: _Found) -> Record | None:
 class Interpreter:
     """Reads facts off a tree. ``texts`` offers ``surface``, ``normalized`` and ``inflected`` of a tree node."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, flat: bool = False):
         self.texts = texts
+        self.flat = flat  # see flat_facts
         self.records: list[Record] = []
 
     def facts(self, tree) -> list[Record]:
@@ -215,14 +218,31 @@ class Interpreter:
 
     def _children(self, node) -> _Found:
         out = _Found()
-        for child in node.children:
-            if child.symbol is not None:
-                inner = self._visit(child)
-                out.merge(inner)
-                out.facts += inner.facts
+        todo = list(reversed(node.children))
+        while todo:
+            child = todo.pop()
+            if child.symbol is None:
+                continue
+            if self.flat and child.symbol.wrapper is None:
+                todo.extend(reversed(child.children))
+                continue
+            inner = self._visit(child)
+            out.merge(inner)
+            out.facts += inner.facts
         return out
 
 
+def flat_facts(compiled) -> bool:
+    """Whether values below plain rules can be collected in one list: so it is unless a field is both single and a list."""
+    repeated: dict[str, bool] = {}
+    for s in compiled.symbols:
+        if s.wrapper and s.wrapper[0] == "attribute":
+            a = s.wrapper[1]
+            if repeated.setdefault(a.name, a.repeated) != a.repeated or not a.repeated and a.functions:
+                return False
+    return True
+
+
 def check_fields(compiled) -> None:
     """Fail while compiling if an attribute below a scheme is not one of its fields."""
     for s in compiled.symbols:

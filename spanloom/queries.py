@@ -36,6 +36,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def vector(grammar, **kw) -> Parser:
+    """The plan of the registered queries unless they name another one."""
+    return Parser(grammar, **{"engine": "vector", **kw})
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as short documents."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -92,27 +97,27 @@ def _tokens(source: str) -> str:
     pieces AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) - 1 AS idx FROM lists),
     vals AS (SELECT doc_id, idx, piece, regexp_replace(piece, '^[ \\t\\v\\f]+', '') AS value FROM pieces),
     placed AS (SELECT *, sum(strlen(piece)) OVER w AS bs, sum(length(piece)) OVER w AS cs FROM vals WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
-    tokens AS (SELECT doc_id, CAST(idx AS INT) AS idx, value, {_TYPE} AS token_type, CAST(bs - strlen(value) AS INT) AS byte_start, CAST(bs AS INT) AS byte_stop,
+    tokens AS MATERIALIZED (SELECT doc_id, CAST(idx AS INT) AS idx, value, {_TYPE} AS token_type, CAST(bs - strlen(value) AS INT) AS byte_start, CAST(bs AS INT) AS byte_stop,
                CAST(cs - length(value) AS INT) AS char_start, CAST(cs AS INT) AS char_stop, strlen(piece) > strlen(value) AS gap FROM placed)"""
 
 
 _TITLE, _LOWER = r"regexp_full_match({0}, '\p{{Lu}}\p{{Ll}}*')", r"regexp_full_match({0}, '\p{{Ll}}*')"
 
 
-def _is(alias: str, kind: str) -> str:
-    value = f"{alias}.value"
-    return {"title": _TITLE.format(value), "lower": _LOWER.format(value)}.get(kind, f"{alias}.token_type = '{kind}'")
+def _is(value: str, kind: str, token_type: str) -> str:
+    return {"title": _TITLE.format(value), "lower": _LOWER.format(value)}.get(kind, f"{token_type} = '{kind}'")
 
 
 def _sequence(*kinds: str) -> str:
-    """Candidate spans of a sequence of token tests."""
-    joins = " ".join(f"JOIN tokens t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.idx = t0.idx + {i}" for i in range(1, len(kinds)))
-    where = " AND ".join(_is(f"t{i}", k) for i, k in enumerate(kinds))
-    return f"SELECT t0.doc_id, t0.idx AS start, t0.idx + {len(kinds)} AS stop FROM tokens t0 {joins} WHERE {where}"
+    """Candidate spans of a sequence of token tests: the tests of the tokens that follow are read by lead."""
+    tests = [_is("value", k, "token_type") for k in kinds]
+    ahead = ", ".join(f"coalesce(lead({t}, {i}) OVER w, false) AS ok{i}" for i, t in enumerate(tests) if i) or "true AS ok"
+    where = " AND ".join(["ok0", *[f"ok{i}" for i in range(1, len(kinds))]])
+    return f"SELECT doc_id, idx AS start, idx + {len(kinds)} AS stop FROM (SELECT doc_id, idx, {tests[0]} AS ok0, {ahead} FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) WHERE {where}"
 
 
 def _runs(kind: str, low: int = 1) -> str:
-    islands = f"SELECT doc_id, idx, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM tokens t WHERE {_is('t', kind)}"
+    islands = f"SELECT doc_id, idx, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM tokens t WHERE {_is('value', kind, 'token_type')}"
     return f"SELECT doc_id, min(idx) AS start, max(idx) + 1 AS stop FROM ({islands}) GROUP BY doc_id, island HAVING count(*) >= {low}"
 
 
@@ -166,8 +171,8 @@ def join_gap_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", join_with_gaps(F.col("tokens")).alias("joined"), join_normalised(F.col("tokens")).alias("normal"), span["start"].alias("start"), span["stop"].alias("stop"))
 
 
-@query("token_first_span_algebra", f"""WITH {_tokens('turns')}, p AS (SELECT a.doc_id, a.byte_start AS s1, a.byte_stop AS e1, b.byte_start AS s2, b.byte_stop AS e2 FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.idx = a.idx + 1)
-    SELECT doc_id, s1 AS start, e1 - s1 AS len, s1 < e2 AND s2 < e1 AS overlap, e1 = s2 OR e2 = s1 AS touch, CASE WHEN e1 = s2 THEN e2 ELSE -1 END AS merged_stop FROM p""")
+@query("token_first_span_algebra", f"""WITH {_tokens('turns')}, p AS (SELECT doc_id, byte_start AS s1, byte_stop AS e1, lead(byte_start) OVER w AS s2, lead(byte_stop) OVER w AS e2 FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
+    SELECT doc_id, s1 AS start, e1 - s1 AS len, s1 < e2 AND s2 < e1 AS overlap, e1 = s2 OR e2 = s1 AS touch, CASE WHEN e1 = s2 THEN e2 ELSE -1 END AS merged_stop FROM p WHERE s2 IS NOT NULL""")
 def span_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_tokens(turns(spark, sf_dir)).select("doc_id", F.inline(F.arrays_zip(F.col("tokens").alias("a"), F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(1))).alias("b"))).alias("a", "b"))
     pairs = pairs.filter(F.col("b").isNotNull())
@@ -212,7 +217,7 @@ def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(name: str, grammar, candidates: str, source: str = "documents", **kw) -> None:
     read = {"documents": documents, "turns": turns, "pages": pages, "parts": parts}[source]
-    query(name, _findall(source, candidates))(lambda spark, sf_dir: _spans(Parser(grammar, **kw).findall(read(spark, sf_dir))))
+    query(name, _findall(source, candidates))(lambda spark, sf_dir: _spans(vector(grammar, **kw).findall(read(spark, sf_dir))))
 
 
 TWO = rule([title, lower])
@@ -220,6 +225,7 @@ _search("seq_two", TWO, _sequence("title", "lower"))
 _search("seq_three_mixed", rule([latin, punct, title]), _sequence("Latin", "Punct", "title"))
 _search("alt_two", or_([rule([title, punct]), rule([number, latin])]), _sequence("title", "Punct") + " UNION " + _sequence("Int", "Latin"))
 _search("opt_middle", rule([title, punct.optional(), title]), _sequence("title", "title") + " UNION " + _sequence("title", "Punct", "title"))
+_search("findall_array", TWO, _sequence("title", "lower"), engine="array")
 _search("repeat_title", title.repeatable(2), _runs("title", 2))
 _search("repeat_bounded_2_3", lower.repeatable(2, 3), _sequence("lower", "lower") + " UNION " + _sequence("lower", "lower", "lower"))
 _search("findall_relational", TWO, _sequence("title", "lower"), "turns", engine="relational")
@@ -229,22 +235,22 @@ _search("findall_parts", rule([lower, lower]), _sequence("lower", "lower"), "par
 
 @query("find_first", f"WITH {_tokens('turns')}, cand AS ({_sequence('title', 'lower')}), {_RESOLVED.replace('found AS (SELECT', 'every AS (SELECT')}, found AS (SELECT doc_id, start, stop FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) = 1) {_SHOWN}")
 def find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(Parser(TWO).find(turns(spark, sf_dir)))
+    return _spans(vector(TWO).find(turns(spark, sf_dir)))
 
 
 @query("match_whole", f"WITH {_tokens('parts')}, sizes AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id), cand AS ({_sequence('lower', 'lower')}), found AS (SELECT c.* FROM cand c JOIN sizes s USING (doc_id) WHERE start = 0 AND stop = n) {_SHOWN}")
 def match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(Parser(rule([lower, lower])).match(parts(spark, sf_dir)))
+    return _spans(vector(rule([lower, lower])).match(parts(spark, sf_dir)))
 
 
 @query("extract_all_overlapping", f"WITH {_tokens('turns')}, found AS ({_sequence('Latin', 'Latin')} UNION ALL {_sequence('Latin', 'Latin', 'Latin')}) {_SHOWN}")
 def extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(Parser(latin.repeatable(2, 3)).extract(turns(spark, sf_dir)))
+    return _spans(vector(latin.repeatable(2, 3)).extract(turns(spark, sf_dir)))
 
 
 @query("parse_first_tree", f"WITH {_tokens('turns')}, cand AS ({_sequence('title', 'lower')} UNION {_sequence('title')}), found AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start, stop DESC) = 1) {_SHOWN}")
 def parse_first_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(Parser(or_([TWO, title])).parse(turns(spark, sf_dir)))
+    return _spans(vector(or_([TWO, title])).parse(turns(spark, sf_dir)))
 
 
 @query("recursive_brackets")
@@ -253,7 +259,7 @@ def recursive_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside, item = forward(), forward()
     item.define(or_([pred(~P.in_(["<", ">"])), rule([term("<"), inside, term(">")])]))
     inside.define(item.repeatable())
-    return _spans(Parser(rule([term("<"), inside, term(">")])).findall(pages(spark, sf_dir)))
+    return _spans(vector(rule([term("<"), inside, term(">")])).findall(pages(spark, sf_dir)))
 
 
 # gazetteers
@@ -265,8 +271,8 @@ def _phrase_spans(caseless: bool) -> str:
     fold = "lower({})" if caseless else "{}"
     return f"""
     ph AS (SELECT phrase_id, line, string_split(line, ' ') AS words FROM (VALUES {_PHRASE_ROWS}) v(phrase_id, line)),
-    hits AS (SELECT t0.doc_id, t0.idx AS start, t0.idx + len(words) AS stop, phrase_id, line FROM tokens t0 JOIN ph ON {fold.format('t0.value')} = words[1]
-             LEFT JOIN tokens t1 ON t1.doc_id = t0.doc_id AND t1.idx = t0.idx + 1 WHERE len(words) = 1 OR {fold.format('t1.value')} = words[2])"""
+    pairs AS (SELECT doc_id, idx, {fold.format('value')} AS v, lead({fold.format('value')}) OVER (PARTITION BY doc_id ORDER BY idx) AS w FROM tokens),
+    hits AS (SELECT doc_id, idx AS start, idx + len(words) AS stop, phrase_id, line FROM pairs JOIN ph ON v = words[1] WHERE len(words) = 1 OR w = words[2])"""
 
 
 @query("gaz_exact_spans", f"WITH {_tokens('documents')}, {_phrase_spans(False)} SELECT doc_id, start, stop, phrase_id, line FROM hits")
@@ -277,16 +283,14 @@ def gaz_exact_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gaz_caseless_longest", f"WITH {_tokens('turns')}, {_phrase_spans(True)}, cand AS (SELECT doc_id, start, stop FROM hits), {_RESOLVED} {_SHOWN}")
 def gaz_caseless_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(Parser(caseless_pipeline(PHRASES)).findall(turns(spark, sf_dir)))
+    return _spans(vector(caseless_pipeline(PHRASES)).findall(turns(spark, sf_dir)))
 
 
 @query("gaz_canonical_value", f"WITH {_tokens('turns')}, {_phrase_spans(False)}, cand AS (SELECT doc_id, start, stop FROM hits), {_RESOLVED} SELECT DISTINCT f.doc_id, f.start AS tok_start, h.line AS value FROM found f JOIN hits h USING (doc_id, start, stop)")
 def gaz_canonical_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     V = fact("Phrase", ["value"])
-    parser = Parser(pipeline(PHRASES).interpretation(V.value.normalized()).interpretation(V))
-    docs = turns(spark, sf_dir)
-    places = parser.findall(docs).select("doc_id", "match_no", "tok_start")
-    return typed(parser.facts(docs), V).join(places, ["doc_id", "match_no"]).select("doc_id", "tok_start", "fields.value")
+    parser = vector(pipeline(PHRASES).interpretation(V.value.normalized()).interpretation(V))
+    return typed(parser.facts(turns(spark, sf_dir)), V).select("doc_id", "tok_start", "fields.value")
 
 
 # facts
@@ -300,53 +304,51 @@ def _contact():
 
 @query("fact_contact", f"WITH {_tokens('documents')} SELECT doc_id, value AS address, [struct_pack(start := byte_start, stop := byte_stop)] AS spans FROM tokens WHERE token_type IN ('Email', 'Domain')")
 def fact_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed(Parser(_contact()).facts(documents(spark, sf_dir)), M).select("doc_id", "fields.address", "spans")
+    return typed(vector(_contact()).facts(documents(spark, sf_dir)), M).select("doc_id", "fields.address", "spans")
 
 
 @query("fact_domain_pages", f"WITH {_tokens('pages')} SELECT doc_id, value AS address FROM tokens WHERE token_type IN ('Email', 'Domain')")
 def fact_domain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed(Parser(_contact()).facts(pages(spark, sf_dir)), M).select("doc_id", "fields.address")
+    return typed(vector(_contact()).facts(pages(spark, sf_dir)), M).select("doc_id", "fields.address")
 
 
 @query("fact_const_kind", f"WITH {_tokens('documents')} SELECT doc_id, value AS number, '{{\"number\": \"' || value || '\"}}' AS fields FROM tokens WHERE token_type = 'Phone'")
 def fact_const_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Parser(phone.interpretation(C.number).interpretation(C)).facts(documents(spark, sf_dir))
+    found = vector(phone.interpretation(C.number).interpretation(C)).facts(documents(spark, sf_dir))
     return found.select("doc_id", F.get_json_object("fields", "$.number").alias("number"), "fields")
 
 
 @query("fact_repeatable_words", f"WITH {_tokens('documents')}, found AS ({_runs('title', 2)}) SELECT f.doc_id, f.start AS tok_start, list(t.value ORDER BY t.idx) AS words FROM found f JOIN tokens t ON t.doc_id = f.doc_id AND t.idx >= f.start AND t.idx < f.stop GROUP BY f.doc_id, f.start")
 def fact_repeatable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parser = Parser(title.interpretation(W.words).repeatable(2).interpretation(W))
-    docs = documents(spark, sf_dir)
-    places = parser.findall(docs).select("doc_id", "match_no", "tok_start")
-    return typed(parser.facts(docs), W).join(places, ["doc_id", "match_no"]).select("doc_id", "tok_start", "fields.words")
+    parser = vector(title.interpretation(W.words).repeatable(2).interpretation(W))
+    return typed(parser.facts(documents(spark, sf_dir)), W).select("doc_id", "tok_start", "fields.words")
 
 
-@query("fact_custom_int", f"WITH {_tokens('documents')} SELECT doc_id, CAST(value AS BIGINT) * 2 AS n FROM tokens WHERE token_type = 'Int' AND strlen(value) < 9")
+@query("fact_custom_int", f"WITH {_tokens('documents')} SELECT doc_id, CASE WHEN try_cast(value AS HUGEINT) < 4611686018427387904 THEN CAST(value AS BIGINT) * 2 END AS n FROM tokens WHERE token_type = 'Int'")
 def fact_custom_int(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = pred(P.is_token_type("Int") & P.lte(999_999_999) & ~P.length_eq(9))
-    grammar = short.interpretation(N.n.custom(int).custom(lambda x: x * 2)).interpretation(N)
-    return typed(Parser(grammar).facts(documents(spark, sf_dir)), N).select("doc_id", "fields.n").filter("n is not null")
+    """Every integer, doubled; null where the double is beyond a bigint."""
+    grammar = number.interpretation(N.n.custom(int).custom(lambda x: x * 2 if x < 1 << 62 else None)).interpretation(N)
+    return typed(vector(grammar).facts(documents(spark, sf_dir)), N).select("doc_id", "fields.n")
 
 
-@query("fact_nested_struct", f"WITH {_tokens('documents')}, cand AS ({_sequence('Int', 'Latin')}), {_RESOLVED} SELECT f.doc_id, CAST(a.value AS BIGINT) AS n, b.value AS word FROM found f JOIN tokens a ON a.doc_id = f.doc_id AND a.idx = f.start JOIN tokens b ON b.doc_id = f.doc_id AND b.idx = f.start + 1")
+@query("fact_nested_struct", f"WITH {_tokens('documents')}, cand AS ({_sequence('Int', 'Latin')}), {_RESOLVED}, pairs AS (SELECT doc_id, idx, value, lead(value) OVER (PARTITION BY doc_id ORDER BY idx) AS word FROM tokens) SELECT f.doc_id, CAST(p.value AS BIGINT) AS n, p.word FROM found f JOIN pairs p ON p.doc_id = f.doc_id AND p.idx = f.start")
 def fact_nested_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = number.interpretation(N.n.custom(int)).interpretation(N)
     grammar = rule([left.interpretation(O.left), latin.interpretation(O.word)]).interpretation(O)
-    return typed(Parser(grammar).facts(documents(spark, sf_dir)), O).select("doc_id", F.col("fields.left.n").alias("n"), "fields.word")
+    return typed(vector(grammar).facts(documents(spark, sf_dir)), O).select("doc_id", F.col("fields.left.n").alias("n"), "fields.word")
 
 
 @query("fact_json", f"WITH {_tokens('documents')} SELECT doc_id, '{{\"name\":\"Call\",\"fields\":{{\"number\": \"' || value || '\"}},\"spans\":[{{\"start\":' || byte_start || ',\"stop\":' || byte_stop || '}}]}}' AS json FROM tokens WHERE token_type = 'Phone'")
 def fact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts_json(Parser(phone.interpretation(C.number).interpretation(C)).facts(documents(spark, sf_dir)))
+    return facts_json(vector(phone.interpretation(C.number).interpretation(C)).facts(documents(spark, sf_dir)))
 
 
-@query("tagger_drop_punct", f"""WITH {_tokens('turns').replace('tokens AS (', 'all_tokens AS (')},
+@query("tagger_drop_punct", f"""WITH {_tokens('turns').replace('tokens AS MATERIALIZED (', 'all_tokens AS MATERIALIZED (')},
     tokens AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS INT) AS idx, value, token_type, byte_start, byte_stop, byte_start > lag(byte_stop) OVER (PARTITION BY doc_id ORDER BY idx) AS gap FROM all_tokens WHERE token_type <> 'Punct'),
     cand AS ({_sequence('lower', 'title')}), {_RESOLVED} {_SHOWN}""")
 def tagger_drop_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
     drop: Callable[[Column], Column] = lambda tokens: F.filter(tokens, lambda t: t["token_type"] != "Punct")
-    return _spans(Parser(rule([lower, title]), tagger=drop).findall(turns(spark, sf_dir)))
+    return _spans(vector(rule([lower, title]), tagger=drop).findall(turns(spark, sf_dir)))
 
 
 # morphology
@@ -358,7 +360,7 @@ LATIN = {"types": ("Latin",)}
 
 def _morph(name: str, predicate: P.Predicate, sql: str) -> None:
     query(name, f"WITH {_tokens('turns')}, {_LEX}, found AS (SELECT t.doc_id, t.idx AS start, t.idx + 1 AS stop FROM tokens t WHERE {sql}) {_SHOWN}")(
-        lambda spark, sf_dir: _spans(Parser(pred(predicate), lexicon=lexicon(spark), **LATIN).findall(turns(spark, sf_dir)))
+        lambda spark, sf_dir: _spans(vector(pred(predicate), lexicon=lexicon(spark), **LATIN).findall(turns(spark, sf_dir)))
     )
 
 
@@ -372,7 +374,7 @@ _morph("lex_dictionary", P.dictionary(["be", "have", "idiot"]), _FORM_OF.format(
 def lex_gaz_morph(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = lexicon(spark)
     grammar = morph_pipeline(["it is"], lex.lookup(table, ["it", "is"]))
-    return _spans(Parser(grammar, lexicon=table, **LATIN).findall(turns(spark, sf_dir)))
+    return _spans(vector(grammar, lexicon=table, **LATIN).findall(turns(spark, sf_dir)))
 
 
 @query("lex_inflected", "SELECT * FROM (VALUES ('is', 'are'), ('was', 'are'), ('this', 'these'), ('idiot', 'idiots'), ('has', 'have'), ('from', 'from')) v(word, inflected)")
@@ -385,7 +387,7 @@ def _agree(name: str, relation, sql: str) -> None:
     grammar = lambda: rule([pred(P.gram("NPRO") | P.gram("ADJF") | P.gram("NOUN")).match_relation(relation), pred(P.gram("VERB")).match_relation(relation)])
     pairs = f"SELECT DISTINCT a.doc_id, a.idx AS start, a.idx + 2 AS stop FROM forms a JOIN forms b ON b.doc_id = a.doc_id AND b.idx = a.idx + 1 WHERE list_has_any(a.grams, ['NPRO', 'ADJF', 'NOUN']) AND list_contains(b.grams, 'VERB') AND ({sql})"
     query(name, f"WITH {_tokens('documents')}, {_LEX}, cand AS ({pairs}), {_RESOLVED} {_SHOWN}")(
-        lambda spark, sf_dir: _spans(Parser(grammar(), lexicon=lexicon(spark), **LATIN).findall(documents(spark, sf_dir)))
+        lambda spark, sf_dir: _spans(vector(grammar(), lexicon=lexicon(spark), **LATIN).findall(documents(spark, sf_dir)))
     )
 
 

@@ -34,6 +34,8 @@ GRAMMEMES = {
     ).split(),
 }
 CATEGORY = {code: category for category, codes in GRAMMEMES.items() for code in codes}
+#: Bytes of a lexicon that is sent to all workers; a larger one is joined.
+MEMORY_BYTES = 16 << 20
 SCHEMA = "form string, rank int, lemma_id bigint, lemma string, grams array<string>"
 _XML = "_id bigint, l struct<_t:string,g:array<struct<_v:string>>>, f array<struct<_t:string,g:array<struct<_v:string>>>>"
 
@@ -109,6 +111,19 @@ def lemmas_of(lexicon: DataFrame, words) -> list[str]:
     return sorted({x for w in words for x in ([f["lemma"] for f in known.get(w.lower(), [])] or [w.lower()])})
 
 
+def in_memory(lexicon: DataFrame, most: int = MEMORY_BYTES) -> tuple[dict[str, list[dict]], dict[int, list[dict]]] | None:
+    """(word -> forms, lemma_id -> paradigm) of a lexicon of ``most`` bytes at most, measured first; None for a larger one."""
+    size = F.octet_length("form") + F.octet_length("lemma") + F.octet_length(F.array_join("grams", " ")) + 64
+    if (lexicon.agg(F.sum(size)).first()[0] or 0) > most:
+        return None
+    words: dict[str, list[dict]] = {}
+    lemmas: dict[int, list[dict]] = {}
+    for r in sorted(lexicon.collect(), key=lambda r: (r.lemma_id, r["rank"], r.lemma, r.grams, r.form)):
+        words.setdefault(r.form, []).append({"lemma": r.lemma, "grams": r.grams, "lemma_id": r.lemma_id, "form": r.form})
+        lemmas.setdefault(r.lemma_id, []).append({"lemma_id": r.lemma_id, "rank": r["rank"], "form": r.form, "grams": r.grams})
+    return words, lemmas
+
+
 def with_forms(docs: DataFrame, lexicon: DataFrame, types=("Russian",), key: str = "doc_id") -> DataFrame:
     """``docs`` (unique ``key``, tokens) with forms on tokens of ``types``: an empty list if the lexicon lacks the word.
 
