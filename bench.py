@@ -22,7 +22,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.files.maxPartitionBytes", "2m").getOrCreate()
+        .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     run = lambda name: engine.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()

@@ -237,3 +237,20 @@ def token_arrays(texts: pa.Array) -> pa.Array:
         tokens = pa.StructArray.from_arrays(columns, names)
         parts.append(pa.ListArray.from_arrays(pa.array(t.first.astype(np.int32)), tokens, mask=some.is_null()))
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("idx", pa.int32())])))
+
+
+def row_arrays(texts: pa.Array, fields: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+    """The text that each token belongs to, and the named fields of all tokens of an array of texts."""
+    t = tokenise(texts)
+    size = np.diff(t.first)
+    ints = {n: getattr(t, n) for n in ("byte_start", "byte_stop", "char_start", "char_stop")}
+
+    def column(name: str) -> pa.Array:
+        if name == "value":
+            return t.values
+        if name == "token_type":
+            return pa.array(TOKEN_TYPES, pa.string()).take(pa.array(t.kinds))
+        at = np.arange(len(t)) - np.repeat(t.first[:-1], size) if name == "idx" else ints[name]
+        return pa.array(at.astype(np.int32))
+
+    return np.repeat(np.arange(len(size)), size), [column(n) for n in fields]

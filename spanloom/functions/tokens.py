@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +155,27 @@ def token_rows(df: DataFrame, keep: list[str], tokens_col: str = "tokens") -> Da
     return df.select(*keep, F.inline(tokens_col))
 
 
+#: Fields of a token row and their types.
+ROW = {"idx": "int", "value": "string", "token_type": "string", "byte_start": "int", "byte_stop": "int", "char_start": "int", "char_stop": "int"}
+
+
+def tokenised(df: DataFrame, keep: list[str], fields=tuple(ROW), text_col: str = "text") -> DataFrame:
+    """One row a token with ``keep`` and some fields of ROW, without an array of tokens in between; null texts give none."""
+    from spanloom.functions.batches import row_arrays, slices
+
+    fields, names = list(fields), [*keep, *fields]
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(len(keep))):
+                owner, columns = row_arrays(batch.column(len(keep)).slice(a, b - a), fields)
+                owner = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a).take(owner) for c in batch.columns[: len(keep)]], *columns], names=names)
+
+    own = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
+    return df.select(*keep, text_col).mapInArrow(run, ", ".join([*own, *[f"{f} {ROW[f]}" for f in fields]]))
+
+
 def retokened(df: DataFrame, change, tokens_col: str = "tokens") -> DataFrame:
     """Apply a tagger, a Column function from the token array to a token array, and number the tokens anew."""
     return df.withColumn(tokens_col, F.transform(change(F.col(tokens_col)), lambda t, i: t.withField("idx", i)))
@@ -183,6 +205,11 @@ def join_normalised(tokens: Column) -> Column:
     return join_with_gaps(tokens, normalised_token)
 
 
+def cut(tokens: Column, start: Column, stop: Column) -> Column:
+    """Tokens from start up to stop, read by index: slice() copies the whole array for each call."""
+    return F.when(stop > start, F.transform(F.sequence(start, stop - 1), lambda i: F.get(tokens, i))).otherwise(F.slice(tokens, 1, 0))
+
+
 def tokens_span(tokens: Column) -> Column:
     """start and stop in bytes from the first to the last token; null for no tokens."""
     return F.when(F.size(tokens) > 0, F.struct(F.get(tokens, F.lit(0))["byte_start"].alias("start"), F.element_at(tokens, -1)["byte_stop"].alias("stop")))

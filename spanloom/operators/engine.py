@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spanloom.errors import GrammarError
 from spanloom.functions.spans import resolve
-from spanloom.functions.tokens import fixed, join_with_gaps, running, with_tokens
+from spanloom.functions.tokens import cut, fixed, join_with_gaps, running, with_tokens
 from spanloom.operators.columnar import WORD_BITS, Plan, by_value, worker
 from spanloom.operators.facts import Scheme, check_fields
 from spanloom.plans import grammar as g
@@ -206,15 +206,15 @@ class Parser:
             following = F.concat(F.slice("__records", F.lit(2), F.greatest(F.size("__records"), F.lit(1))), F.array(F.lit(None).cast("struct<start:int,stop:int>")))
             spans = F.filter(F.zip_with("__records", F.slice(following, F.lit(1), F.size("__records")), lambda s, n: F.when(n.isNull() | (n["start"] >= s["stop"]), s)), lambda s: s.isNotNull())
         found = fixed(masked, {"__spans": F.slice(spans, 1, 1) if verb == "find" else spans})
-        rows = found.select(self.key, "tokens", F.posexplode("__spans").alias("match_no", "s"))
-        return self._described(rows.select(self.key, "tokens", "match_no", F.col("s.start").alias("tok_start"), F.col("s.stop").alias("tok_stop")))
-
-    def _described(self, rows: DataFrame) -> DataFrame:
-        """key and MATCH_FIELDS from key, tokens, match_no, tok_start, tok_stop."""
-        cut = fixed(rows, {"__cut": F.slice("tokens", F.col("tok_start") + 1, F.col("tok_stop") - F.col("tok_start"))})
-        return cut.select(
-            self.key, "match_no", "tok_start", "tok_stop", F.get("__cut", F.lit(0))["byte_start"].alias("byte_start"), F.element_at("__cut", -1)["byte_stop"].alias("byte_stop"),
-            join_with_gaps(F.col("__cut")).alias("text"), F.transform("__cut", lambda t: t["value"]).alias("values"),
+        return self._described(found)
+
+    def _described(self, found: DataFrame) -> DataFrame:
+        """key and MATCH_FIELDS from key, tokens and ``__spans``, in the row: no match carries its document's tokens along."""
+        taken = lambda s, i: F.struct(i.alias("match_no"), s["start"].alias("tok_start"), s["stop"].alias("tok_stop"), cut(F.col("tokens"), s["start"], s["stop"]).alias("cut"))
+        rows = fixed(found.select(self.key, "tokens", "__spans"), {"__matches": F.transform("__spans", taken)}).select(self.key, F.inline("__matches"))
+        return rows.select(
+            self.key, "match_no", "tok_start", "tok_stop", F.get("cut", F.lit(0))["byte_start"].alias("byte_start"), F.element_at("cut", -1)["byte_stop"].alias("byte_stop"),
+            join_with_gaps(F.col("cut")).alias("text"), F.transform("cut", lambda t: t["value"]).alias("values"),
         )
 
     # relational plan
@@ -275,9 +275,9 @@ class Parser:
             found = tokens.select(key, "start", F.col("start").alias("stop")).limit(0)
         if verb == "findall":
             found = resolve(found, key)
-        numbered = found.withColumn("match_no", F.row_number().over(Window.partitionBy(key).orderBy("start", F.desc("stop"))) - 1)
-        rows = numbered.withColumnsRenamed({"start": "tok_start", "stop": "tok_stop"}).join(prepared.select(key, "tokens"), key)
-        return self._described(rows)
+        ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("end"))))  # a document's spans
+        spans = found.groupBy(key).agg(F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"))).alias("__spans"))
+        return self._described(spans.join(prepared.select(key, "tokens"), key))
 
     # vector and chart plan
 

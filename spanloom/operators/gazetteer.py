@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from spanloom.functions.tokens import fixed, local_tokens, with_tokens
 from spanloom.plans.grammar import Gazetteer
 
-#: Phrases up to which the phrase table is broadcast (counted); above it the join shuffles on the first token.
-BROADCAST_PHRASES = 200_000
+#: Phrases and bytes up to which the phrase table is broadcast; above them the join shuffles on the first token.
+BROADCAST_PHRASES, BROADCAST_BYTES = 200_000, 32 << 20
+#: Phrases whose first words are named in a filter.
+FILTER_PHRASES = 2_000
 
 
 def _values(line: str) -> list[str]:
@@ -50,18 +52,25 @@ def phrase_table(lines: DataFrame, line_col: str = "line", caseless: bool = Fals
 def gazetteer_spans(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", caseless: bool = False) -> DataFrame:
     """key, start, stop (tokens), byte_start, byte_stop, phrase_id, line of every occurrence of a phrase.
 
-    An equi-join on the first token; the rest of the phrase is compared with a slice of the tokens that follow.
-    Only tokens that start some phrase leave their document: the phrase table is broadcast if it is small (counted).
+    An equi-join on the first token; the rest of the phrase is compared with the tokens that follow. Only tokens that start
+    some phrase leave their document, where the phrases are few enough to name their first words; the phrase table is
+    broadcast if its counted rows and measured bytes are small.
     """
     value = (lambda t: F.lower(t["value"])) if caseless else (lambda t: t["value"])
-    longest = phrases.agg(F.max("n")).first()[0] or 0
-    count = phrases.count()
-    ahead = F.transform("tokens", lambda t, i: F.struct(
-        i.alias("start"), value(t).alias("first"), t["byte_start"].alias("byte_start"),
-        F.transform(F.slice(F.col("tokens"), i + 1, F.lit(max(longest, 1))), lambda u: F.struct(value(u).alias("v"), u["byte_stop"].alias("stop"))).alias("ahead"),
+    size = F.octet_length("line") + F.octet_length(F.array_join("words", " ")) + 64
+    longest, count, size = phrases.agg(F.max("n"), F.count(F.lit(1)), F.sum(size)).first()
+    docs = docs.filter(F.col("tokens").isNotNull()).select(key, "tokens")
+    starting = F.col("tokens")
+    if count <= FILTER_PHRASES:
+        firsts = [r[0] for r in phrases.select("first").distinct().collect()]
+        starting = F.filter("tokens", lambda t: value(t).isin(*firsts))
+    step = lambda t, k: F.get("tokens", t["idx"] + k)
+    ahead = F.transform(starting, lambda t: F.struct(
+        t["idx"].alias("start"), value(t).alias("first"), t["byte_start"].alias("byte_start"),
+        F.transform(F.sequence(F.lit(0), F.lit(max(longest or 1, 1) - 1)), lambda k: F.struct(value(step(t, k)).alias("v"), step(t, k)["byte_stop"].alias("stop"))).alias("ahead"),
     ))
-    starts = fixed(docs.filter(F.col("tokens").isNotNull()).select(key, "tokens"), {"__ahead": ahead}).select(key, F.inline("__ahead"))
-    side = F.broadcast(phrases) if count <= BROADCAST_PHRASES else phrases
+    starts = fixed(docs, {"__ahead": ahead}).select(key, F.inline("__ahead"))
+    side = F.broadcast(phrases) if count <= BROADCAST_PHRASES and (size or 0) <= BROADCAST_BYTES else phrases
     same = F.transform(F.slice("ahead", F.lit(1), F.col("n")), lambda x: x["v"]) == F.col("words")
     found = starts.join(side, "first").filter(same)
     return found.select(key, "start", (F.col("start") + F.col("n")).alias("stop"), "byte_start", F.get("ahead", F.col("n") - 1)["stop"].alias("byte_stop"), "phrase_id", "line")

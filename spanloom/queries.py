@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import predicates as P
 from spanloom.functions import spans as S
-from spanloom.functions.tokens import ANY_TOKEN, PIECE, RULES, join_normalised, join_with_gaps, split_values, token_rows, tokens_span, with_tokens
+from spanloom.functions.tokens import ANY_TOKEN, PIECE, RULES, TOKEN, join_normalised, join_with_gaps, split_values, token_rows, tokenised, tokens_span, with_tokens
 from spanloom.operators.engine import Parser, facts_json, typed
 from spanloom.operators.facts import fact
 from spanloom.operators.gazetteer import caseless_pipeline, gazetteer_spans, morph_pipeline, phrase_table, pipeline
@@ -146,8 +146,8 @@ _COUNTS = f"WITH {_tokens('documents')} SELECT d.lang, t.token_type, count(*) AS
 
 @query("token_counts_by_type_lang", _COUNTS)
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")))
-    rows = token_rows(docs, ["lang"])
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"))
+    rows = tokenised(docs, ["lang"], ["token_type", "byte_start", "byte_stop"])
     return rows.groupBy("lang", "token_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("byte_stop") - F.col("byte_start")).alias("bytes"))
 
 
@@ -156,6 +156,18 @@ def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(with_tokens(turns(spark, sf_dir)), ["doc_id"]).drop("forms", "tag")
 
 
+@query("token_sums_documents", f"WITH {_tokens('documents')} SELECT doc_id, count(*) AS n, CAST(sum(byte_start) AS BIGINT) AS byte_starts, CAST(sum(byte_stop) AS BIGINT) AS byte_stops, CAST(sum(char_start) AS BIGINT) AS char_starts, CAST(sum(char_stop) AS BIGINT) AS char_stops, CAST(sum((idx + 1) * strlen(value)) AS BIGINT) AS lengths, string_agg(substr(token_type, 1, 1), '' ORDER BY idx) AS types FROM tokens GROUP BY doc_id")
+def token_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of every document, the longest ones included, in sums by document and the types in order."""
+    rows = tokenised(documents(spark, sf_dir), ["doc_id"])
+    total = lambda c: F.sum(c).cast("long")
+    types = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.substr("token_type", F.lit(1), F.lit(1)).alias("t")))), lambda x: x["t"]), "")
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), total("byte_start").alias("byte_starts"), total("byte_stop").alias("byte_stops"), total("char_start").alias("char_starts"), total("char_stop").alias("char_stops"),
+        total((F.col("idx") + 1) * F.octet_length("value")).alias("lengths"), types.alias("types"),
+    )
+
+
 @query("token_split", f"SELECT doc_id, regexp_extract_all(text, {_q(ANY_TOKEN)}) AS words FROM ({_SOURCES['turns']})")
 def token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("doc_id", split_values(F.col("text")).alias("words"))
@@ -208,8 +220,11 @@ _PREDICATE_SQL = f"WITH {_tokens('documents')} SELECT token_type, " + ", ".join(
 
 @query("predicates", _PREDICATE_SQL)
 def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_tokens(documents(spark, sf_dir)).select(F.explode("tokens").alias("t"))
-    return rows.groupBy(F.col("t.token_type").alias("token_type")).agg(*[F.count_if(p.column(F.col("t"))).alias(n) for n, (p, _) in _PREDICATES.items()])
+    """How many tokens of each type pass each predicate; predicates see each distinct token once."""
+    words = tokenised(documents(spark, sf_dir), [], ["value", "token_type"]).groupBy("token_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    token = F.struct(*[F.col(c) if c in ("value", "token_type") else F.lit(None).alias(c) for c in ("idx", "value", "token_type", "byte_start", "byte_stop", "char_start", "char_stop", "forms", "tag")])
+    rows = words.select("token_type", "n", token.cast(TOKEN).alias("t"))
+    return rows.groupBy("token_type").agg(*[F.coalesce(F.sum(F.when(p.column(F.col("t")), F.col("n"))), F.lit(0)).alias(n) for n, (p, _) in _PREDICATES.items()])
 
 
 # search verbs

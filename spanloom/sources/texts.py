@@ -25,9 +25,10 @@ def table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Documents over all cores: a scan of fewer partitions than cores (one small file) is dealt out, others stay."""
+    """Documents over all cores: a table of fewer files than cores is dealt out, as a file may be one row group, which one
+    task reads; tables of many files stay as they are, without a shuffle."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def pretokenised(rows: DataFrame, key: str = "doc_id") -> DataFrame:
