@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import limit_batches
+from spanloom.llm.common import free_names, limit_batches
 
 #: Characters whose normal form, lower case and category are the same in every Unicode version at hand.
 _PLAIN = [*"\t\n\r", *map(chr, (*range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x17F), *range(0x2010, 0x2028), *range(0x2030, 0x205F)))]
@@ -260,8 +260,9 @@ def codec_column(text_col: str | Column, path: str) -> Column:
 def bpe_codec(df: DataFrame, path: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the ids of ``text_col`` and the text that they decode to (both new names), in one pass."""
     limit_batches(df.sparkSession, 250)
-    coded = df.withColumn("__coded", codec_column(text_col, path))
-    return coded.withColumns({ids: F.col("__coded.ids"), decoded: F.col("__coded.decoded")}).drop("__coded")
+    (pair,) = free_names(df, "__coded")
+    coded = df.withColumn(pair, codec_column(text_col, path))
+    return coded.withColumns({ids: F.col(pair)["ids"], decoded: F.col(pair)["decoded"]}).drop(pair)
 
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:

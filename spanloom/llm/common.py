@@ -13,22 +13,42 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a checked small side is broadcast; above it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a checked small side is broadcast; above them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 #: White space of all contracts: U+0020 and U+0009 to U+000D.
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Only a local session that names none gets a temporary one; on a cluster that
+    would be another folder on each machine, so it is an error there."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spanloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind it as set it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/spanloom/{tag}-{uuid.uuid4().hex}"
 
@@ -42,8 +62,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if its counted rows are within ``max_rows``, else as it is."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """``df`` (a written table) with a broadcast hint if its counted rows are within ``max_rows`` and its measured bytes
+    within BROADCAST_BYTES, else as it is."""
+    sizes = []
+    for f in df.schema.fields:
+        wide = f.dataType.simpleString() in ("string", "binary") or f.dataType.simpleString().startswith(("array", "map", "struct"))
+        text = F.col(f"`{f.name}`") if f.dataType.simpleString() in ("string", "binary") else F.to_json(F.struct(f"`{f.name}`")) if wide else None
+        sizes.append(F.lit(16) if text is None else F.coalesce(F.octet_length(text), F.lit(0)) + 16)
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(sum(sizes, F.lit(0)))).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def limit_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -71,42 +98,46 @@ def with_row_number(df: DataFrame, order: list[Column], name: str = "row_number"
     """``df`` with a gapless global number from 0 in the given order, and the number of rows.
 
     Range partitions are sorted and written with (partition, index), so that later passes see the very same
-    layout; only one count per partition reaches the driver. Rows that tie in ``order`` get numbers in any order.
+    layout; only one count per partition reaches the driver. Rows that tie in ``order`` get numbers in any order. A column
+    that is called ``name`` is replaced; all others stay.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part, index, start = free_names(df, "__part", "__index", "__start")
     laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    laid = laid.withColumns({"__part": F.spark_partition_id(), "__index": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    laid = laid.withColumns({part: F.spark_partition_id(), index: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     laid = written(laid, "rows")
     starts, total = [], 0
-    for part, count in sorted((r[0], r[1]) for r in laid.groupBy("__part").count().collect()):  # one row a partition
-        starts.append((part, total))
+    for number, count in sorted((r[0], r[1]) for r in laid.groupBy(part).count().collect()):  # one row a partition
+        starts.append((number, total))
         total += count
-    offsets = spark.createDataFrame(starts, "__part int, __start long")
-    numbered = laid.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__start") + F.col("__index"))
-    return numbered.drop("__part", "__start", "__index"), total
+    offsets = spark.createDataFrame(starts, f"{part} int, {start} long")
+    numbered = laid.join(F.broadcast(offsets), part).withColumn(name, F.col(start) + F.col(index))
+    return numbered.drop(part, start, index), total
 
 
 def keep_by_key(df: DataFrame, keys: dict[str, Column], decisions: DataFrame, tag: str) -> DataFrame:
     """Rows of ``df`` whose key is decided to stay; of rows that share a kept key exactly one stays.
 
     ``decisions`` has the key columns and ``keep``, one row for each row of ``df``. Only keys that go, or that occur
-    more than once, are joined back: by broadcast if they are few (counted), else by a shuffle on the key.
+    more than once, are joined back: by broadcast if they are few (counted and measured), else by a shuffle on the key.
+    The columns of ``df`` may have any names; an empty table stays empty.
     """
     names = list(keys)
-    odd = decisions.groupBy(*names).agg(F.max("keep").alias("__keep"), F.count(F.lit(1)).alias("__n"))
-    odd = written(odd.filter(~F.col("__keep") | (F.col("__n") > 1)), tag)
-    repeated = odd.filter("__keep").limit(1).count() > 0
-    columns = df.columns
-    side = small_side(odd.withColumnsRenamed({k: f"__odd_{k}" for k in names}))
-    keyed = df.withColumns({f"__key_{k}": c for k, c in keys.items()})
-    on = [keyed[f"__key_{k}"].eqNullSafe(side[f"__odd_{k}"]) for k in names]
+    made = free_names(df, *[f"__key_{k}" for k in names], *[f"__odd_{k}" for k in names], "__keep", "__n")
+    own, other, keep, n = made[: len(names)], made[len(names) : 2 * len(names)], made[-2], made[-1]
+    odd = decisions.groupBy(*names).agg(F.max("keep").alias(keep), F.count(F.lit(1)).alias(n))
+    odd = written(odd.filter(~F.col(keep) | (F.col(n) > 1)).withColumnsRenamed(dict(zip(names, other))), tag)
+    repeated = odd.filter(keep).limit(1).count() > 0
+    side = small_side(odd)
+    keyed = df.withColumns(dict(zip(own, keys.values())))
+    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, other)]
     if not repeated:
-        return keyed.join(side, on, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+        return keyed.join(side, on, "left_anti").select(*map(column, df.columns))
     joined = keyed.join(side, on, "left")
-    plain = joined.filter(F.col("__keep").isNull())
-    once = joined.filter("__keep").dropDuplicates([f"__key_{k}" for k in names])
-    return plain.unionByName(once).select(*[F.col(f"`{c}`") for c in columns])
+    plain = joined.filter(F.col(keep).isNull())
+    once = joined.filter(keep).dropDuplicates(own)
+    return plain.unionByName(once).select(*map(column, df.columns))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

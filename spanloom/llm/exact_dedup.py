@@ -57,6 +57,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without copies: all columns of the rows that stay."""
+    """``df`` without copies: all columns of the rows that stay. Columns may have any names; see :func:`decide` for nulls, ties,
+    repeated rows and empty tables."""
     decided = exact_dedup(df, id_col, text_col).select("doc_id", "text_sha256", F.col("kept").alias("keep"))
     return keep_by_key(df, {"doc_id": F.col(id_col), "text_sha256": text_digest(text_col)}, decided, "copies")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import small_side, with_row_number, word_count, written
+from spanloom.llm.common import column, free_names, small_side, with_row_number, word_count, written
 
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, 42
 #: Salts of a source's rows when the source table is too large to broadcast.
@@ -47,21 +47,23 @@ def unit_hash(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _planned(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, seed: int) -> DataFrame:
-    """``df`` with __source_size, __target and __copies.
+def _planned(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, seed: int) -> tuple[DataFrame, str, str, str]:
+    """``df`` with the source's size, its target and the row's copies, and the names of these columns, which are new.
 
-    The source table is broadcast if small (counted); else rows are salted, so that a hot source spreads over SALTS keys.
+    The source table is broadcast if small (counted and measured); else rows are salted, so that a hot source spreads over
+    SALTS keys.
     """
-    table = written(targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")), "targets")
+    own, total, target, copies, salt, row_salt = free_names(df, "__source", "__source_size", "__target", "__copies", "__salt", "__row_salt")
+    table = written(targets.select(F.col("source").alias(own), F.col("source_size").alias(total), F.col("target").alias(target)), "targets")
     side = small_side(table)
-    on = F.col(source_col).eqNullSafe(F.col("__source"))
+    on = column(source_col).eqNullSafe(F.col(own))
     if side is table:
-        side = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        df = df.withColumn("__row_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
-        on = on & (F.col("__row_salt") == F.col("__salt"))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    extra = (unit_hash(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")
-    return df.join(side, on).withColumn("__copies", F.floor(rate) + extra)
+        side = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        df = df.withColumn(row_salt, F.pmod(F.xxhash64(column(id_col)), F.lit(SALTS)).cast("int"))
+        on = on & (F.col(row_salt) == F.col(salt))
+    rate = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(F.lit(0.0))
+    extra = (unit_hash(seed, column(id_col)) < rate - F.floor(rate)).cast("long")
+    return df.join(side, on).withColumn(copies, F.floor(rate) + extra), total, target, copies
 
 
 def slim_sizes(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -76,16 +78,18 @@ def plan_mix(sizes: DataFrame, seed: int = SEED) -> DataFrame:
     size 0; rows that share an id get the same decision, so reruns and other layouts agree. A source without words
     has target 0 and its rows are taken 0 times. An empty table stays empty.
     """
-    planned = _planned(sizes, source_targets(sizes), "doc_id", "source", seed)
-    return planned.select("doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
+    planned, total, target, copies = _planned(sizes, source_targets(sizes), "doc_id", "source", seed)
+    return planned.select("doc_id", "source", "size", F.col(total).alias("source_size"), F.col(target).alias("target"), F.col(copies).alias("copies"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The mixed corpus: each row of ``df`` as often as the plan takes it, with the columns of ``df``.
 
-    The targets come from a slim pass over (source, size); the texts themselves do not shuffle.
+    The targets come from a slim pass over (source, size); the texts themselves do not shuffle. Null texts, null sources,
+    rows of one id and an empty table go as in :func:`plan_mix`; other columns may have any names.
     """
-    targets = source_targets(df.select(F.col(source_col).alias("source"), word_count(text_col).alias("size")))
-    planned = _planned(df, targets, id_col, source_col, seed).filter("__copies > 0")
-    repeated = planned.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in df.columns])
+    targets = source_targets(df.select(column(source_col).alias("source"), word_count(text_col).alias("size")))
+    planned, _, _, copies = _planned(df, targets, id_col, source_col, seed)
+    (copy,) = free_names(planned, "__copy")
+    repeated = planned.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return repeated.select(*map(column, df.columns))

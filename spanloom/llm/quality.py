@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import limit_batches
+from spanloom.llm.common import free_names, limit_batches
 
 SYMBOLS = "#*$%&|<>"
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, low_chunk_ratio double, high_chunk_ratio double, base_failed boolean, kept boolean"
@@ -119,12 +119,13 @@ def quality_rules(df: DataFrame, text_col: str = "text", bands: Bands = Bands(),
     """``df`` with a struct ``into`` of RESULT's fields; one row in, one row out, no shuffle.
 
     Null and empty texts have no words and fail the base rules; each row is judged alone, so ties and repeated
-    rows get equal values; an empty table stays empty; other columns pass through (``into`` must be a new name).
+    rows get equal values; an empty table stays empty; a column called ``into`` is replaced, others pass through.
     """
     limit_batches(df.sparkSession)
     return df.withColumn(into, quality_column(text_col, bands))
 
 
 def keep_good(df: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``df``."""
-    return quality_rules(df, text_col, bands, "__quality").filter("__quality.kept").drop("__quality")
+    """The documents that the rules keep, with the columns of ``df``, which may have any names."""
+    (quality,) = free_names(df, "__quality")
+    return quality_rules(df, text_col, bands, quality).filter(F.col(quality)["kept"]).drop(quality)

@@ -61,7 +61,7 @@ def permuted(column: Column, n: int, seed: int) -> Column:
 
 
 def feistel_shards(df: DataFrame, order: list[Column], n_shards: int, seed: int = 42) -> DataFrame:
-    """``df`` with row_number, position, shard and slot (all new names).
+    """``df`` with row_number, position, shard and slot; columns of these names are replaced, all others may have any names.
 
     ``order`` fixes the row numbers, so that reruns and other file layouts give the same result; rows that tie in it
     are interchangeable. Shard sizes differ by one at most and slots of a shard are gapless from 0. Project to the

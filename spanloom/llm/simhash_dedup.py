@@ -123,7 +123,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """``df`` with one document of each group: the one with the least doc_id, rows without doc_id last.
 
-    If several rows of a group have that doc_id, the one with the least text hash stays.
+    If several rows of a group have that doc_id, the one with the least text hash stays, and one of equal rows. An empty table
+    stays empty; columns may have any names.
     """
     groups = written(near_groups(df, id_col, text_col, hot_bucket=hot_bucket).select("doc_id", "text_hash", "root"), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import limit_batches, small_side, text_or_empty, written
+from spanloom.llm.common import column, limit_batches, small_side, text_or_empty, written
 
 MAGIC, END = b"WARC/1.0\r\n", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -59,9 +59,14 @@ def _urn(col: str) -> Column:
 
 
 def write_warc(df: DataFrame, target: str, id_col: str, text_col: str, uri_col: str | None = None, min_bytes: int = 0, compression: str = "gzip", date: str = "2024-01-01T00:00:00Z") -> None:
-    """One record a row, one file a task. Null texts are empty payloads; line ends in URIs become spaces."""
-    planned = plan_records(df, id_col, text_col, min_bytes)
-    uri = F.regexp_replace(F.coalesce(F.col(uri_col), F.lit("")), "[\\r\\n]+", " ") if uri_col else F.lit("")
+    """One record a row, one file a task. Null texts are empty payloads; line ends in URIs become spaces.
+
+    Rows that repeat id and payload are written as often as they come; of equal payloads the smallest id is the response (see
+    :func:`plan_records`). An empty table gives an archive without records. Other columns are ignored, whatever their names.
+    """
+    address = F.regexp_replace(F.coalesce(column(uri_col), F.lit("")), "[\\r\\n]+", " ") if uri_col else F.lit("")
+    slim = df.select(column(id_col).alias("id"), column(text_col).alias("text"), address.alias("uri"))
+    planned, uri, id_col, text_col = plan_records(slim, "id", "text", min_bytes), F.col("uri"), "id", "text"
     revisit = F.col("__refers").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("__bytes").cast("string"), F.lit("\r\n\r\n"))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("__bytes"))
@@ -174,7 +179,8 @@ def read_warc(spark: SparkSession, target: str) -> DataFrame:
     """file, offset, FIELDS and payload of every record that the chain of its file reaches.
 
     payload_bytes is what the HTTP header declares (the full payload's for a revisit, whose own payload is empty).
-    Reading stops in a file where its chain breaks; a record that its file cuts short is left out.
+    Reading stops in a file where its chain breaks; a record that its file cuts short is left out. Records that repeat come back
+    as often as they were written; an archive without records gives no rows.
     """
     pieces = _pieces(spark, target)
     headers = written(_scan(pieces, "headers"), "headers")

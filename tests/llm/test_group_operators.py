@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, line_dedup, mixing, queries, sharding, simhash_dedup
+from spanloom.llm import common, exact_dedup, line_dedup, mixing, queries, sharding, simhash_dedup
 from spanloom.llm.common import connected_components, with_row_number
 
 SF = "/root/testdata/sf0.001"
@@ -363,3 +363,37 @@ def test_row_numbers(spark):
     rows, n = with_row_number(df, [F.col("k"), F.col("v").desc()])
     got = [(r.k, -r.v) for r in rows.orderBy("row_number").collect()]
     assert n == 500 and got == sorted(got) and [r.row_number for r in rows.orderBy("row_number").collect()] == list(range(500))
+
+
+# any column names
+
+
+INTERNAL = ["__keep", "__n", "__key_doc_id", "__odd_doc_id", "__KEEP_", "__target", "__copies", "__copy", "__source", "__salt", "__part", "__index", "__start", "__id", "__hash", "__drop", "__quality", "__coded", "__digest", "__bytes", "__refers", "a.b"]
+
+
+def test_columns_of_any_name_stay(spark):
+    text = "some words that are the same " * 4
+    rows = [(1, text, "s"), (1, text, "s"), (2, text + " ", "s"), (None, None, None), (None, None, None), (3, "other " * 30, "t"), (4, "", "t")]
+    df = spark.createDataFrame([(*r, *[7] * len(INTERNAL)) for r in rows], ["doc_id", "text", "source", *INTERNAL])
+    names = [f"`{c}`" for c in INTERNAL]
+    outs = [exact_dedup.drop_exact_copies(df), simhash_dedup.drop_near_copies(df), mixing.mix(df), sharding.feistel_shards(df, [F.col("doc_id").asc_nulls_last(), F.col("text")], 4), line_dedup.line_dedup(df)]
+    for out in outs:
+        kept = out.select(*names).collect()
+        assert set(df.columns) <= set(out.columns) and kept and all(set(r) == {7} for r in kept)
+    assert outs[0].count() == 3 and outs[3].count() == outs[4].count() == len(rows)
+    assert simhash_dedup.drop_near_copies(df.limit(0)).columns == df.columns
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())

@@ -55,3 +55,23 @@ def test_run_and_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_through_all_stages(spark):
+    """Null ids, texts and sources, ties, repeated rows and columns with internal names."""
+    clean = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40").orderBy("doc_id").collect()]
+    kept = [t for t in clean if judge(t, Bands(), zstandard.ZstdCompressor(level=3))[-1]]
+    assert len(set(kept)) >= 4
+    a, b, c, d = list(dict.fromkeys(kept))[:4]
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (None, b, None, None), (None, b, None, None), (2, a + "\n", "en", "s"), (5, c, "de", None), (5, d, "fr", "s"), (6, None, "en", "t"), (7, "", "en", "t"), (8, "x" * 200_000, "en", "t")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 7, 7, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __keep long, __target long, __quality long")
+    frames = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns and all((r["__keep"], r["__target"], r["__quality"]) == (7, 7, 7) for r in docs.collect())
+        frames.append(sorted({(r.doc_id or 0, r.text) for r in docs.collect()}))
+    assert frames[0] == sorted({(0, b), (1, a), (2, a + "\n"), (5, c), (5, d)})
+    assert len(frames[1]) in (4, 5) and set(frames[2]) <= set(frames[1]) <= set(frames[0]) and set(frames[3]) <= set(frames[2])
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.count() == docs.count()
