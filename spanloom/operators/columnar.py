@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from spanloom.functions import predicates as P
 from spanloom.functions.batches import Batch, slices, tokenise
 from spanloom.functions.tokens import TOKEN_TYPES, Token
-from spanloom.operators.chart import Machine, Match, derive, lengths, matches
+from spanloom.operators.chart import Machine, Match, Texts, derive, lengths, matches
 from spanloom.plans.grammar import Compiled
 
 WORD_BITS = 62
@@ -32,6 +32,7 @@ SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 MATCH_COLUMNS = [("match_no", pa.int32()), ("tok_start", pa.int32()), ("tok_stop", pa.int32()), ("byte_start", pa.int32()), ("byte_stop", pa.int32()), ("text", pa.string()), ("values", pa.list_(pa.string()))]
 FACT_COLUMNS = [("match_no", pa.int32()), ("fact_no", pa.int32()), ("name", pa.string()), ("fields", pa.string()), ("spans", SPAN), ("tok_start", pa.int32()), ("tok_stop", pa.int32())]
 TREE_COLUMNS = [("tree", pa.string())]
+NODE_COLUMNS = [("match_no", pa.int32()), ("node_no", pa.int32()), ("parent_no", pa.int32()), ("depth", pa.int32()), ("rule", pa.int32()), ("label", pa.string()), ("production", pa.int32()), ("tok_start", pa.int32()), ("tok_stop", pa.int32()), ("text", pa.string())]
 
 
 def by_value(predicate: P.Predicate) -> bool:
@@ -49,7 +50,7 @@ class Plan:
 
     compiled: Compiled
     verb: str
-    what: str  # matches, facts or trees
+    what: str  # matches, facts, trees or nodes
     sequences: list[tuple] | None
     run: tuple | None
     forms: dict[str, list[dict]] | None  # by lower-case word
@@ -63,7 +64,7 @@ class Plan:
 
     @property
     def columns(self) -> list[tuple]:
-        return {"matches": MATCH_COLUMNS, "facts": FACT_COLUMNS, "trees": TREE_COLUMNS}[self.what]
+        return {"matches": MATCH_COLUMNS, "facts": FACT_COLUMNS, "trees": TREE_COLUMNS, "nodes": NODE_COLUMNS}[self.what]
 
 
 class Marks:
@@ -258,10 +259,35 @@ def _render(tree, base: int) -> str:
     return f"({tree.symbol.number}.{tree.rank} {' '.join(_render(c, base) for c in tree.children)})"
 
 
+def label(tree) -> str:
+    """What a node is: the name of a fact, a field or a rule, "relation", a gazetteer's name, or the predicate of a leaf."""
+    if tree.symbol is None:
+        return tree.predicate.label() if tree.predicate is not None else "token"
+    if tree.symbol.gazetteer:
+        return tree.symbol.gazetteer.name
+    if not tree.symbol.wrapper:
+        return f"R{tree.symbol.number}"
+    kind, payload = tree.symbol.wrapper
+    return "relation" if kind == "relation" else payload if isinstance(payload, str) else payload.name
+
+
+def _node_rows(match: Match, base: int, number: int) -> Iterator[tuple]:
+    texts = Texts(match.tokens, match.forms, match.paradigms)
+    todo, count = [(match.tree, None, 0)], 0
+    while todo:
+        node, parent, depth = todo.pop()
+        rule = node.symbol.number if node.symbol is not None else None
+        yield number, count, parent, depth, rule, label(node), node.rank if rule is not None else None, node.start + base, node.stop + base, texts.text(node)
+        todo.extend((c, count, depth + 1) for c in reversed(node.children))
+        count += 1
+
+
 def _rows(match: Match, base: int, number: int, what: str) -> Iterator[tuple]:
     a, b = match.range
     if what == "trees":
         yield (_render(match.tree, base),)
+    elif what == "nodes":
+        yield from _node_rows(match, base, number)
     else:
         for k, r in enumerate(match.facts()):
             yield number, k, r.name, r.fields_json(), [{"start": x, "stop": y} for x, y in r.spans], a + base, b + base

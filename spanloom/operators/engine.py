@@ -34,6 +34,8 @@ MAX_SEQUENCES, MAX_LENGTH = 64, 12
 MATCH_FIELDS = "match_no int, tok_start int, tok_stop int, byte_start int, byte_stop int, text string, values array<string>"
 FACT_FIELDS = "match_no int, fact_no int, name string, fields string, spans array<struct<start:int,stop:int>>, tok_start int, tok_stop int"
 
+NODE_FIELDS = "match_no int, node_no int, parent_no int, depth int, rule int, label string, production int, tok_start int, tok_stop int, text string"
+
 
 def unfold(compiled: Compiled) -> list[tuple] | None:
     """The sequences of predicates that the grammar stands for, or None if they are too many, too long or unbounded."""
@@ -70,13 +72,14 @@ class Parser:
 
     ``lexicon``: a lexicon table; tokens of ``types`` get its forms. ``tagger``: a function from a token array column to a
     token array column. ``engine``: auto, vector, array, relational or chart. ``key``: a column that is unique by document.
+    ``tokenizer``: a function from documents and the name of their text column to documents with a ``tokens`` column of TOKEN.
     """
 
-    def __init__(self, grammar: g.Node, lexicon: DataFrame | None = None, types=("Russian",), tagger: Callable[[Column], Column] | None = None, engine: str = "auto", key: str = "doc_id"):
+    def __init__(self, grammar: g.Node, lexicon: DataFrame | None = None, types=("Russian",), tagger: Callable[[Column], Column] | None = None, engine: str = "auto", key: str = "doc_id", tokenizer: Callable[[DataFrame, str], DataFrame] | None = None):
         self.compiled = compile_grammar(grammar)
         self.compiled.validate()
         check_fields(self.compiled)
-        self.lexicon, self.types, self.tagger, self.engine, self.key = lexicon, tuple(types), tagger, engine, key
+        self.lexicon, self.types, self.tagger, self.engine, self.key, self.tokenizer = lexicon, tuple(types), tagger, engine, key, tokenizer
         self.sequences = unfold(self.compiled)
         self.run = self._root_run()
         self._memory: tuple | None = None
@@ -111,7 +114,10 @@ class Parser:
 
     def prepare(self, docs: DataFrame, text_col: str = "text", native: bool = False) -> DataFrame:
         """key and tokens (and paradigms): tokenised unless ``docs`` has tokens, with forms and the tagger applied."""
-        out = docs if "tokens" in docs.columns else with_tokens(docs.select(self.key, text_col), text_col, native=native)
+        if "tokens" in docs.columns:
+            out = docs
+        else:
+            out = self.tokenizer(docs, text_col) if self.tokenizer else with_tokens(docs.select(self.key, text_col), text_col, native=native)
         out = out.select(self.key, "tokens").filter(F.col("tokens").isNotNull())
         if self.lexicon is not None:
             out = with_forms(out, self.lexicon, self.types, self.key)
@@ -170,6 +176,11 @@ class Parser:
         self.strategy(verb, facts=True)
         return self._vector(docs, text_col, verb, "facts")
 
+    def nodes(self, docs: DataFrame, verb: str = "findall", text_col: str = "text") -> DataFrame:
+        """key and NODE_FIELDS: the trees of the matches, one row a node, numbered from the root down: ``rule`` and ``label``
+        find nodes by rule, rows without a rule are the leaves."""
+        return self._vector(docs, text_col, verb, "nodes")
+
     def chart(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Debugging: every completed tree as nested text."""
         return self._vector(docs, text_col, "extract", "trees")
@@ -283,9 +294,10 @@ class Parser:
 
     def _vector(self, docs: DataFrame, text_col: str, verb: str, what: str, trees: bool = False) -> DataFrame:
         key, words = self.key, None
-        if self.lexicon is not None and not self.tagger and "tokens" not in docs.columns:
+        plain = not self.tagger and not self.tokenizer and "tokens" not in docs.columns
+        if self.lexicon is not None and plain:
             words = self._memory = self._memory or in_memory(self.lexicon)
-        fused = "tokens" not in docs.columns and not self.tagger and (self.lexicon is None or words) and all(map(by_value, self.compiled.predicates))
+        fused = plain and (self.lexicon is None or words) and all(map(by_value, self.compiled.predicates))
         forms, paradigms = words if fused and words else (None, None)
         unfolds = not trees and len(self.compiled.predicates) <= WORD_BITS
         plan = Plan(self.compiled, verb, what, self.sequences if unfolds else None, self.run if unfolds else None, forms, paradigms if self._inflects else None, self.types, "text" if fused else "tokens")
@@ -295,7 +307,7 @@ class Parser:
             masked, names = self._masks(self.prepare(docs, text_col))
             own = F.col("paradigms") if "paradigms" in masked.columns else F.lit(None)
             sent = masked.select(F.col(key).alias("__key"), "tokens", F.array(*names).alias("masks"), own.cast("array<struct<lemma_id:bigint,rank:int,form:string,grams:array<string>>>").alias("paradigms"))
-        fields = {"trees": "tree string", "facts": FACT_FIELDS, "matches": MATCH_FIELDS}[what]
+        fields = {"trees": "tree string", "nodes": NODE_FIELDS, "facts": FACT_FIELDS, "matches": MATCH_FIELDS}[what]
         key_type = docs.schema[key].dataType.simpleString()
         return sent.mapInArrow(worker(plan), f"__key {key_type}, {fields}").withColumnRenamed("__key", key)
 

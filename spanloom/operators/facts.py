@@ -88,9 +88,12 @@ class Scheme:
         return Record.of(self, values)
 
 
-def fact(name: str, fields) -> Scheme:
-    """A scheme from names (strings by default) or (name, Spark type) pairs."""
-    return Scheme(name, tuple((f, "string") if isinstance(f, str) else tuple(f) for f in fields))
+def fact(name: str, fields, defaults: dict | None = None, parents=()) -> Scheme:
+    """A scheme from names (strings by default) or (name, Spark type) pairs, with values of fields that no match sets."""
+    unknown = set(defaults or {}) - {f if isinstance(f, str) else f[0] for f in fields}
+    if unknown:
+        raise GrammarError(f"{name} has no {', '.join(sorted(unknown))}")
+    return Scheme(name, tuple((f, "string") if isinstance(f, str) else tuple(f) for f in fields), tuple(parents), tuple((defaults or {}).items()))
 
 
 @dataclass
