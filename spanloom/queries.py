@@ -13,10 +13,11 @@ from spanloom.functions.tokens import ANY_TOKEN, PIECE, RULES, TOKEN, join_norma
 from spanloom.operators.engine import Parser, facts_json, typed
 from spanloom.operators.facts import fact
 from spanloom.operators.gazetteer import caseless_pipeline, gazetteer_spans, morph_pipeline, phrase_table, pipeline
-from spanloom.operators.relations import gnc_relation, number_relation
+from spanloom.operators.relations import Relation, gender_relation, gnc_relation, number_relation
 from spanloom.plans.grammar import compile_grammar, forward, or_, pred, rule, term
 from spanloom.sources import lexicon as lex
-from spanloom.sources.texts import spread
+from spanloom.functions.udtf import register_extract
+from spanloom.sources.texts import pretokenised, spread
 
 latin, title, lower, punct = (pred(x) for x in (P.is_token_type("Latin"), P.is_title(), P.is_lower(), P.is_token_type("Punct")))
 number, email, phone, domain = (pred(P.is_token_type(x)) for x in ("Int", "Email", "Phone", "Domain"))
@@ -55,8 +56,15 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
 
 
-def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON, lex.SCHEMA)
+def cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns letter for letter in Cyrillic."""
+    return turns(spark, sf_dir).select("doc_id", F.translate("text", _LATIN, _CYRILLIC).alias("text"))
+
+
+def lexicon(spark: SparkSession, script: bool = False) -> DataFrame:
+    """The lexicon as a table; ``script``: in Cyrillic."""
+    table = spark.createDataFrame(LEXICON, lex.SCHEMA)
+    return table.withColumns({c: F.translate(c, _LATIN, _CYRILLIC) for c in ("form", "lemma")}) if script else table
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,10 +88,13 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: Letter for letter, so that the turns become text in the other script.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "абцдефгхийклмнопярстувшыьзАБЦДЕФГХИЙКЛМНОПЯРСТУВШЫЬЗ"
 _SOURCES = {
     "documents": "SELECT doc_id, text FROM documents",
     "turns": "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations",
     "pages": "SELECT page_id AS doc_id, html AS text FROM pages",
+    "cyrillic": f"SELECT conv_id * 1000 + turn AS doc_id, translate(text, '{_LATIN}', '{_CYRILLIC}') AS text FROM conversations",
     "parts": "SELECT p_partkey AS doc_id, p_name AS text FROM part",
 }
 _TYPE = "CASE " + " ".join(f"WHEN regexp_full_match(value, {_q(p)}) THEN '{n}'" for n, p in RULES) + " END"
@@ -168,6 +179,12 @@ def token_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("token_spans_cyrillic", f"WITH {_tokens('cyrillic')} SELECT doc_id, idx, value, token_type, byte_start, byte_stop, char_start, char_stop FROM tokens")
+def token_spans_cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two bytes a letter: byte and character spans differ."""
+    return tokenised(cyrillic(spark, sf_dir), ["doc_id"])
+
+
 @query("token_split", f"SELECT doc_id, regexp_extract_all(text, {_q(ANY_TOKEN)}) AS words FROM ({_SOURCES['turns']})")
 def token_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("doc_id", split_values(F.col("text")).alias("words"))
@@ -231,7 +248,7 @@ def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(name: str, grammar, candidates: str, source: str = "documents", **kw) -> None:
-    read = {"documents": documents, "turns": turns, "pages": pages, "parts": parts}[source]
+    read = {"documents": documents, "turns": turns, "pages": pages, "parts": parts, "cyrillic": cyrillic}[source]
     query(name, _findall(source, candidates))(lambda spark, sf_dir: _spans(vector(grammar, **kw).findall(read(spark, sf_dir))))
 
 
@@ -248,6 +265,82 @@ _search("findall_chart", rule([title, punct.optional(), title]), _sequence("titl
 _search("findall_parts", rule([lower, lower]), _sequence("lower", "lower"), "parts")
 
 
+_search("findall_cyrillic", TWO, _sequence("title", "lower"), "cyrillic")
+_search("opt_repeat_between", rule([number, lower.repeatable().optional(), punct]), f"""SELECT doc_id, idx AS start, nxt + 1 AS stop FROM (SELECT doc_id, idx, token_type, min(CASE WHEN NOT {_is('value', 'lower', 'token_type')} THEN idx END) OVER w AS nxt,
+    min(CASE WHEN token_type = 'Punct' THEN idx END) OVER w AS closing FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) WHERE token_type = 'Int' AND nxt = closing""")
+
+
+class EndsWith(P.Predicate):
+    """A predicate from outside of the library."""
+
+    def __init__(self, ending: str):
+        self.ending = ending
+
+    def column(self, token: Column) -> Column:
+        return token["value"].endswith(self.ending)
+
+    def test(self, token) -> bool:
+        return token.value.endswith(self.ending)
+
+    def label(self) -> str:
+        return f"ends_with({self.ending})"
+
+
+@query("predicate_custom", f"WITH {_tokens('turns')}, found AS (SELECT doc_id, idx AS start, idx + 1 AS stop FROM tokens WHERE token_type = 'Latin' AND suffix(value, 'ing')) {_SHOWN}")
+def predicate_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(vector(pred(EndsWith("ing") & P.is_token_type("Latin"))).findall(turns(spark, sf_dir)))
+
+
+_NUMBERED = "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INT) AS match_no, start, stop FROM found"
+
+
+@query("findall_text", f"WITH {_tokens('turns')}, cand AS ({_sequence('title', 'lower')}), {_RESOLVED}, numbered AS ({_NUMBERED}) SELECT f.doc_id, match_no, list(t.value ORDER BY t.idx) AS values FROM numbered f JOIN tokens t ON t.doc_id = f.doc_id AND t.idx >= f.start AND t.idx < f.stop GROUP BY f.doc_id, match_no")
+def findall_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector(TWO).findall_text(turns(spark, sf_dir))
+
+
+@query("find_text", f"WITH {_tokens('turns')}, cand AS ({_sequence('title', 'lower')}), {_RESOLVED}, numbered AS ({_NUMBERED}) SELECT f.doc_id, list(t.value ORDER BY t.idx) AS values FROM numbered f JOIN tokens t ON t.doc_id = f.doc_id AND t.idx >= f.start AND t.idx < f.stop WHERE match_no = 0 GROUP BY f.doc_id")
+def find_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector(TWO).find_text(turns(spark, sf_dir))
+
+
+@query("findall_pretokenised", _findall("turns", _sequence("title", "lower")))
+def findall_pretokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(vector(TWO).findall(pretokenised(tokenised(turns(spark, sf_dir), ["doc_id"]))))
+
+
+@query("findall_own_tokenizer", f"""WITH src AS ({_SOURCES['turns']}), lists AS (SELECT doc_id, regexp_extract_all(text, '[^ ]+') AS l FROM src), tokens AS (SELECT doc_id, unnest(l) AS value, generate_subscripts(l, 1) - 1 AS idx FROM lists)
+    SELECT doc_id, CAST(idx AS INT) AS tok_start, value AS text FROM tokens WHERE {_TITLE.format('value')}""")
+def findall_own_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words between spaces as the tokens."""
+
+    def words(docs: DataFrame, text_col: str) -> DataFrame:
+        none = [F.lit(None).alias(c) for c in ("byte_start", "byte_stop", "char_start", "char_stop", "forms", "tag")]
+        token = lambda w, i: F.struct(i.alias("idx"), w.alias("value"), F.lit("Other").alias("token_type"), *[F.lit(0).alias(n) if k < 4 else none[k] for k, n in enumerate(("byte_start", "byte_stop", "char_start", "char_stop", "forms", "tag"))])
+        return docs.withColumn("tokens", F.transform(F.regexp_extract_all(text_col, F.lit("[^ ]+"), F.lit(0)), token).cast(f"array<{TOKEN}>"))
+
+    return vector(title, tokenizer=words).findall(turns(spark, sf_dir)).select("doc_id", "tok_start", "text")
+
+
+@query("tree_nodes", f"""WITH {_tokens('turns')}, cand AS ({_sequence('title', 'lower')}), {_RESOLVED}, roots AS ({_SHOWN})
+    SELECT doc_id, tok_start, tok_stop, 0 AS depth, 'R0' AS label, text FROM roots
+    UNION ALL SELECT f.doc_id, t.idx, t.idx + 1, 1, CASE WHEN t.idx = f.start THEN 'is_title()' ELSE 'is_lower()' END, t.value FROM found f JOIN tokens t ON t.doc_id = f.doc_id AND t.idx >= f.start AND t.idx < f.stop""")
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector(TWO).nodes(turns(spark, sf_dir)).select("doc_id", "tok_start", "tok_stop", "depth", "label", "text")
+
+
+@query("chart_trees", f"WITH {_tokens('parts')}, cand AS ({_sequence('lower', 'lower')}) SELECT doc_id, '(0.0 ' || start || ' ' || (start + 1) || ')' AS tree FROM cand")
+def chart_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector(rule([lower, lower])).chart(parts(spark, sf_dir))
+
+
+@query("udtf_lateral", f"WITH {_tokens('parts')}, cand AS ({_sequence('lower', 'lower')}), {_RESOLVED}, shown AS ({_SHOWN}) SELECT doc_id, byte_start, byte_stop, text FROM shown")
+def udtf_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_extract(spark, "two_words", rule([lower, lower]))
+    parts(spark, sf_dir).createOrReplaceTempView("two_words_parts")
+    return spark.sql("SELECT p.doc_id, m.byte_start, m.byte_stop, m.text FROM two_words_parts p, LATERAL two_words(p.text) m")
+
+
 @query("find_first", f"WITH {_tokens('turns')}, cand AS ({_sequence('title', 'lower')}), {_RESOLVED.replace('found AS (SELECT', 'every AS (SELECT')}, found AS (SELECT doc_id, start, stop FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) = 1) {_SHOWN}")
 def find_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(vector(TWO).find(turns(spark, sf_dir)))
@@ -333,6 +426,32 @@ def fact_const_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.get_json_object("fields", "$.number").alias("number"), "fields")
 
 
+@query("fact_stacked_const", f"WITH {_tokens('documents')} SELECT doc_id, CAST(NULL AS VARCHAR) AS address, lower(token_type) AS kind FROM tokens WHERE token_type IN ('Email', 'Phone')")
+def fact_stacked_const(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constant as a field; of two fields stacked on one token the inner one is discarded."""
+    kinds = [x.interpretation(M.address).interpretation(M.kind.const(k)) for x, k in ((email, "email"), (phone, "phone"))]
+    return typed(vector(or_(kinds).interpretation(M)).facts(documents(spark, sf_dir)), M).select("doc_id", "fields.address", "fields.kind")
+
+
+_PAIR_OF = "pairs AS (SELECT doc_id, idx, value, lead(value) OVER (PARTITION BY doc_id ORDER BY idx) AS word FROM tokens)"
+
+
+@query("fact_field_twice", f"WITH {_tokens('documents')}, cand AS ({_sequence('title', 'title')}), {_RESOLVED}, {_PAIR_OF} SELECT f.doc_id, f.start AS tok_start, p.word, 'none' AS address FROM found f JOIN pairs p ON p.doc_id = f.doc_id AND p.idx = f.start")
+def fact_field_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single field that is set twice keeps the later value; one that is never set has its default."""
+    T = fact("Twice", ["word", "address"], {"address": "none"})
+    grammar = rule([title.interpretation(T.word), title.interpretation(T.word)]).interpretation(T)
+    return typed(vector(grammar).facts(documents(spark, sf_dir)), T).select("doc_id", "tok_start", "fields.word", "fields.address")
+
+
+@query("fact_named", f"WITH {_tokens('documents')}, cand AS ({_sequence('Int', 'Latin')}), {_RESOLVED}, {_PAIR_OF} SELECT f.doc_id, f.start AS tok_start, 'Size' AS name, p.word AS unit FROM found f JOIN pairs p ON p.doc_id = f.doc_id AND p.idx = f.start")
+def fact_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule's name stands for a fact without a scheme."""
+    U = fact("Unit", ["unit"])
+    found = vector(rule([number, latin.interpretation(U.unit)]).named("Size")).facts(documents(spark, sf_dir))
+    return found.select("doc_id", "tok_start", "name", F.get_json_object("fields", "$.unit").alias("unit"))
+
+
 @query("fact_repeatable_words", f"WITH {_tokens('documents')}, found AS ({_runs('title', 2)}) SELECT f.doc_id, f.start AS tok_start, list(t.value ORDER BY t.idx) AS words FROM found f JOIN tokens t ON t.doc_id = f.doc_id AND t.idx >= f.start AND t.idx < f.stop GROUP BY f.doc_id, f.start")
 def fact_repeatable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     parser = vector(title.interpretation(W.words).repeatable(2).interpretation(W))
@@ -392,13 +511,43 @@ def lex_gaz_morph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(vector(grammar, lexicon=table, **LATIN).findall(turns(spark, sf_dir)))
 
 
-@query("lex_inflected", "SELECT * FROM (VALUES ('is', 'are'), ('was', 'are'), ('this', 'these'), ('idiot', 'idiots'), ('has', 'have'), ('from', 'from')) v(word, inflected)")
+_FIRST_FORM = f"lex AS (SELECT * FROM (VALUES {_LEX_ROWS}) v(form, rank, lemma_id, lemma, grams)), words AS (SELECT DISTINCT lower(value) AS word FROM tokens WHERE token_type = 'Latin'), own AS (SELECT w.word, l.* FROM words w JOIN lex l ON l.form = w.word QUALIFY row_number() OVER (PARTITION BY w.word ORDER BY l.lemma_id, l.rank) = 1)"
+
+
+@query("lex_inflected", f"WITH {_tokens('turns')}, {_FIRST_FORM}, fits AS (SELECT o.word, m.form, row_number() OVER (PARTITION BY o.word ORDER BY len(list_intersect(m.grams, o.grams)) DESC, m.rank) AS k FROM own o JOIN lex m ON m.lemma_id = o.lemma_id WHERE list_contains(m.grams, 'plur')) SELECT o.word, coalesce(f.form, o.lemma) AS inflected FROM own o LEFT JOIN fits f ON f.word = o.word AND f.k = 1")
 def lex_inflected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([(w,) for w in ("is", "was", "this", "idiot", "has", "from")], "word string")
+    """Every word of the turns that the lexicon has, in the plural."""
+    words = tokenised(turns(spark, sf_dir), [], ["value", "token_type"]).filter("token_type = 'Latin'").select(F.lower("value").alias("word")).distinct()
     return lex.inflected_words(words, lexicon(spark), ("plur",))
 
 
+@query("fact_inflected", f"WITH {_tokens('turns')}, {_LEX} SELECT DISTINCT t.doc_id, t.idx AS tok_start, CASE WHEN lower(t.value) IN ('those', 'that') THEN 'that' ELSE 'this' END AS word FROM tokens t JOIN forms f USING (doc_id, idx) WHERE f.lemma IN ('this', 'that') AND list_contains(f.grams, 'ADJF')")
+def fact_inflected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pronouns in the singular, through their paradigms in memory."""
+    I = fact("Inflected", ["word"])  # noqa: E741
+    wanted = pred(P.in_caseless(["this", "these", "those"]) | P.in_caseless(["that"]))
+    grammar = wanted.interpretation(I.word.inflected(["sing", "ADJF"])).interpretation(I)
+    found = typed(vector(grammar, lexicon=lexicon(spark), **LATIN).facts(turns(spark, sf_dir)), I)
+    return found.select("doc_id", "tok_start", F.col("fields.word").alias("word"))
+
+
+_morph_rows = f"lex AS (SELECT translate(form, '{_LATIN}', '{_CYRILLIC}') AS form, rank, lemma_id, translate(lemma, '{_LATIN}', '{_CYRILLIC}') AS lemma, grams FROM (VALUES {_LEX_ROWS}) v(form, rank, lemma_id, lemma, grams)), forms AS (SELECT t.doc_id, t.idx, l.* FROM tokens t JOIN lex l ON lower(t.value) = l.form WHERE t.token_type = 'Russian')"
+
+
+@query("lex_cyrillic", f"WITH {_tokens('cyrillic')}, {_morph_rows}, found AS (SELECT DISTINCT doc_id, idx AS start, idx + 1 AS stop FROM forms WHERE list_contains(grams, 'plur')) {_SHOWN}")
+def lex_cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(vector(pred(P.gram("plur")), lexicon=lexicon(spark, True)).findall(cyrillic(spark, sf_dir)))
+
+
+@query("lex_joined", f"WITH {_tokens('turns')}, {_LEX}, found AS (SELECT DISTINCT doc_id, idx AS start, idx + 1 AS stop FROM forms WHERE list_contains(grams, 'sing')) {_SHOWN}")
+def lex_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way of a large lexicon: forms join the tokens."""
+    tokens = lex.with_forms(with_tokens(turns(spark, sf_dir)), lexicon(spark), **LATIN)
+    return _spans(vector(pred(P.gram("sing"))).findall(tokens))
+
+
 def _agree(name: str, relation, sql: str) -> None:
+    """Two words that agree; ``sql`` tests a pair of their forms."""
     grammar = lambda: rule([pred(P.gram("NPRO") | P.gram("ADJF") | P.gram("NOUN")).match_relation(relation), pred(P.gram("VERB")).match_relation(relation)])
     pairs = f"SELECT DISTINCT a.doc_id, a.idx AS start, a.idx + 2 AS stop FROM forms a JOIN forms b ON b.doc_id = a.doc_id AND b.idx = a.idx + 1 WHERE list_has_any(a.grams, ['NPRO', 'ADJF', 'NOUN']) AND list_contains(b.grams, 'VERB') AND ({sql})"
     query(name, f"WITH {_tokens('documents')}, {_LEX}, cand AS ({pairs}), {_RESOLVED} {_SHOWN}")(
@@ -415,16 +564,32 @@ _agree("rel_number_pairs", number_relation(), _NUMBER)
 _agree("rel_gnc_pairs", gnc_relation(), f"{_NUMBER} AND ({_both('plur')} OR {_both('masc')} OR {_both('femn')} OR {_both('neut')} OR list_contains(a.grams, 'GNdr') OR list_contains(b.grams, 'GNdr'))")
 
 
-@query("grammemes", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{k}')" for c, k in lex.CATEGORY.items()) + ") v(code, category)")
+_GENDER = f"({_both('plur')} OR {_both('masc')} OR {_both('femn')} OR {_both('neut')} OR list_contains(a.grams, 'GNdr') OR list_contains(b.grams, 'GNdr'))"
+_agree("rel_gender_pairs", gender_relation(), _GENDER)
+_agree("rel_not_number", ~number_relation(), f"NOT {_NUMBER}")
+_agree("rel_gender_or_number", gender_relation() | number_relation(), f"({_GENDER} OR {_NUMBER})")
+_agree("rel_gender_and_number", gender_relation() & number_relation(), f"{_GENDER} AND {_NUMBER}")
+_agree("rel_custom", Relation("past", lambda a, b: "past" in b, lambda a, b: F.array_contains(b, "past")), "list_contains(b.grams, 'past')")
+
+
+@query("grammemes", f"""WITH {_tokens('turns')}, {_LEX}, used AS (SELECT unnest(grams) AS code FROM forms),
+    known AS (SELECT code, category FROM (VALUES ('ADJF', 'pos'), ('VERB', 'pos'), ('NOUN', 'pos'), ('NPRO', 'pos'), ('CONJ', 'pos'), ('PRCL', 'pos'), ('PREP', 'pos'), ('sing', 'number'), ('plur', 'number'), ('masc', 'gender'), ('neut', 'gender'), ('GNdr', 'gender'), ('past', 'tense')) v(code, category))
+    SELECT code, category, count(*) AS n FROM used JOIN known USING (code) GROUP BY ALL""")
 def grammemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lex.grammemes(spark)
+    """How often the grammemes of each category occur among the forms of the turns' words."""
+    words = tokenised(turns(spark, sf_dir), [], ["value", "token_type"]).filter("token_type = 'Latin'").groupBy(F.lower("value").alias("form")).agg(F.count(F.lit(1)).alias("n"))
+    used = words.join(lexicon(spark), "form").select(F.explode("grams").alias("code"), "n")
+    return used.join(F.broadcast(lex.grammemes(spark)), "code").groupBy("code", "category").agg(F.sum("n").alias("n"))
 
 
-_BNF = {"bounded": ["R0 -> 'a' R1", "R1 -> 'a' 'a' | 'a'"], "star": ["R0 -> e | 'a' R0 | 'a'"], "named": ["SIZE -> KEY VALUE", "KEY -> 'k' '.' | 'key'", "VALUE -> in_(...)"]}
+_BNF = {"up_to_four": ["R0 -> 'x' R1 | 'x'", "R1 -> 'x' R2 | 'x'", "R2 -> 'x' 'x' | 'x'"], "version": ["VERSION -> is_digit() R0", "R0 -> e | R1 R0 | '.' is_digit()", "R1 -> '.' is_digit()"], "door": ["R0 -> 'door' STATE", "STATE -> in_(...) | 'half' 'open'"]}
 
 
 @query("bnf_printed", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, {_q(x)})" for n, lines in _BNF.items() for i, x in enumerate(lines)) + ") v(grammar, line_no, line)")
 def bnf_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = rule([or_([rule([term("k"), term(".")]), term("key")]).named("KEY"), pred(P.in_(["S", "M"])).named("VALUE")]).named("SIZE")
-    made = {"bounded": term("a").repeatable(2, 3), "star": term("a").repeatable().optional(), "named": size}
+    """Printed rules depend on no table."""
+    digits = pred(P.is_digit())
+    version = rule([digits, rule([term("."), digits]).repeatable().optional()]).named("VERSION")
+    door = rule([term("door"), or_([pred(P.in_(["open", "shut"])), rule([term("half"), term("open")])]).named("STATE")])
+    made = {"up_to_four": term("x").repeatable(high=4), "version": version, "door": door}
     return spark.createDataFrame([(n, i, x) for n, g in made.items() for i, x in enumerate(compile_grammar(g).bnf())], "grammar string, line_no int, line string")
