@@ -74,8 +74,9 @@ def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = fresh_path(spark, "tokens")
     wavelet.write_tokens(raw_table(spark, sf_dir, "documents"), tokenizer_path(), target)
     docs = wavelet.read_tokens(spark, target)
-    slim = written(docs.select("part", "piece", "doc_id", "at", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-docs")
-    return wavelet.with_starts(slim).select("doc_id", "start", "n_tokens", "ids_crc32")
+    looked_up = [F.col("first_id"), F.col("n_wanted").alias("n_end_ids"), F.col("first_wanted").alias("first_end")]
+    slim = written(docs.select("part", "piece", "doc_id", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"), *looked_up), "token-docs")
+    return wavelet.with_starts(slim).select("doc_id", "start", "n_tokens", "ids_crc32", "first_id", "n_end_ids", "first_end")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

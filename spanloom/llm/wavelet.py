@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.bpe import load
-from spanloom.llm.common import limit_batches, small_side, written
+from spanloom.llm.common import column, limit_batches, small_side, written
 
 MAGIC = b"WVMX1\n"
 #: Tokens from which a file is closed; a document is never split, so one very long one makes a larger file.
@@ -58,7 +58,8 @@ class WaveletMatrix:
         return np.unpackbits(self.planes[k], count=self.n, bitorder="little")
 
     def _directory(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ones before each 64-bit word of plane k, and the words; kept after the first use."""
+        """Ones before each 64-bit word of plane k, and the words; kept after the first use. One pass over a plane that was
+        just decompressed costs less than a stored directory would."""
         if k not in self._ranks:
             raw = self.planes[k].tobytes()
             words = np.frombuffer(raw + bytes(-len(raw) % 8 + 8), dtype="<u8")
@@ -67,61 +68,78 @@ class WaveletMatrix:
             self._ranks[k] = before, words
         return self._ranks[k]
 
-    def _ones(self, k: int, i: int) -> int:
+    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
         before, words = self._directory(k)
-        return int(before[i >> 6]) + (int(words[i >> 6]) & ((1 << (i & 63)) - 1)).bit_count()
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return before[at >> 6] + np.bitwise_count(words[at >> 6] & below)
 
     def _zeros(self, k: int) -> int:
-        return self.n - self._ones(k, self.n)
+        return self.n - int(self._directory(k)[0][-1])
 
-    def access(self, i: int) -> int:
-        value = 0
+    def access_all(self, at: np.ndarray) -> np.ndarray:
+        """The ids at many positions, one rank a plane for all of them."""
+        at, values = np.asarray(at, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
         for k in range(len(self.planes)):
-            _, words = self._directory(k)
-            bit = int(words[i >> 6]) >> (i & 63) & 1
-            ones = self._ones(k, i)
-            i = self._zeros(k) + ones if bit else i - ones
-            value = value << 1 | bit
-        return value
-
-    def _range(self, value: int, end: int) -> tuple[int, int]:
-        """Where ``value``'s occurrences before ``end`` lie below the last plane."""
+            bit = self._directory(k)[1][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            ones = self._ones(k, at)
+            at = np.where(bit == 1, self._zeros(k) + ones, at - ones)
+            values = values << 1 | bit.astype(np.int64)
+        return values
+
+    def access(self, i: int) -> int:
+        return int(self.access_all([i])[0])
+
+    def _ranges(self, value: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``value``'s occurrences before each end lie below the last plane."""
+        ends = np.asarray(ends, dtype=np.int64)
+        starts = np.zeros(len(ends), dtype=np.int64)
         if value >> len(self.planes):
-            return 0, 0
-        start = 0
+            return starts, starts
         for k in range(len(self.planes)):
-            bit = value >> (len(self.planes) - 1 - k) & 1
-            a, b = self._ones(k, start), self._ones(k, end)
-            start, end = (self._zeros(k) + a, self._zeros(k) + b) if bit else (start - a, end - b)
-        return start, end
+            a, b = self._ones(k, starts), self._ones(k, ends)
+            if value >> (len(self.planes) - 1 - k) & 1:
+                starts, ends = self._zeros(k) + a, self._zeros(k) + b
+            else:
+                starts, ends = starts - a, ends - b
+        return starts, ends
+
+    def rank_all(self, value: int, ends: np.ndarray) -> np.ndarray:
+        """Occurrences of ``value`` before each of many positions."""
+        a, b = self._ranges(value, ends)
+        return b - a
 
     def rank(self, value: int, end: int | None = None) -> int:
         """Occurrences of ``value`` in the first ``end`` tokens (all by default)."""
-        a, b = self._range(value, self.n if end is None else end)
-        return b - a
+        return int(self.rank_all(value, [self.n if end is None else end])[0])
+
+    def select_all(self, value: int, nths: np.ndarray) -> np.ndarray:
+        """Positions of the occurrences with these numbers (from 0); IndexError if one does not exist."""
+        nths = np.asarray(nths, dtype=np.int64)
+        a, b = (int(x[0]) for x in self._ranges(value, [self.n]))
+        if len(nths) and not 0 <= nths.min() <= nths.max() < b - a:
+            raise IndexError(value)
+        at = a + nths
+        for k in range(len(self.planes) - 1, -1, -1):
+            bit = value >> (len(self.planes) - 1 - k) & 1
+            at = self._find(k, bit, at - self._zeros(k) if bit else at)
+        return at
 
     def select(self, value: int, nth: int) -> int:
         """Position of the occurrence number ``nth`` (from 0); IndexError if there is none."""
-        a, b = self._range(value, self.n)
-        if not 0 <= nth < b - a:
-            raise IndexError(nth)
-        i = a + nth
-        for k in range(len(self.planes) - 1, -1, -1):
-            bit = value >> (len(self.planes) - 1 - k) & 1
-            i = self._find(k, bit, i - self._zeros(k) if bit else i)
-        return i
+        return int(self.select_all(value, [nth])[0])
 
-    def _find(self, k: int, bit: int, nth: int) -> int:
+    def _find(self, k: int, bit: int, nths: np.ndarray) -> np.ndarray:
         before, words = self._directory(k)
         counts = before if bit else np.arange(len(before), dtype=np.int64) * 64 - before
-        w = int(np.searchsorted(counts, nth, side="right")) - 1
-        word = int(words[w]) if bit else ~int(words[w]) & (1 << 64) - 1
-        for _ in range(nth - int(counts[w])):
-            word &= word - 1
-        return w * 64 + (word & -word).bit_length() - 1
+        w = np.searchsorted(counts, nths, side="right") - 1
+        word, left = words[w] if bit else ~words[w], nths - counts[w]
+        while (left > 0).any():
+            word = np.where(left > 0, word & (word - np.uint64(1)), word)
+            left = left - 1
+        return w * 64 + np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1))
 
     def positions(self, value: int) -> list[int]:
-        return [self.select(value, k) for k in range(self.rank(value))]
+        return self.select_all(value, np.arange(self.rank(value))).tolist()
 
     def tokens(self) -> np.ndarray:
         """All ids in order, from the lowest plane up."""
@@ -147,17 +165,23 @@ def pack(part: int, piece: int, doc_ids: list[int | None], lengths: np.ndarray,
     return b"".join([MAGIC, len(header).to_bytes(4, "little"), header, *frames])
 
 
-def unpack(content: bytes, at: int = 0) -> tuple[dict, list[int | None], np.ndarray, WaveletMatrix, int]:
-    """header, doc ids, lengths and the matrix of the block at ``at``, and where the block ends."""
+def block_at(content: bytes, at: int) -> tuple[dict, int, int]:
+    """Header of the block at ``at``, where its frames start and where it ends; no frame is read."""
     if content[at : at + len(MAGIC)] != MAGIC:
         raise ValueError("not a wavelet-matrix block")
     at += len(MAGIC) + 4
-    end = at + int.from_bytes(content[at - 4 : at], "little")
-    header = json.loads(content[at:end])
+    frames = at + int.from_bytes(content[at - 4 : at], "little")
+    header = json.loads(content[at:frames])
+    return header, frames, frames + sum(header["frames"])
+
+
+def unpack(content: bytes, at: int = 0) -> tuple[dict, list[int | None], np.ndarray, WaveletMatrix, int]:
+    """header, doc ids, lengths and the matrix of the block at ``at``, and where the block ends."""
+    header, frame, end = block_at(content, at)
     zstd, parts = zstandard.ZstdDecompressor(), []
     for size in header["frames"]:
-        parts.append(zstd.decompress(content[end : end + size]))
-        end += size
+        parts.append(zstd.decompress(content[frame : frame + size]))
+        frame += size
     set_ = np.frombuffer(parts[1], dtype=np.uint8)
     doc_ids = [int(d) if s else None for d, s in zip(np.frombuffer(parts[0], dtype="<i8"), set_)]
     planes = [np.frombuffer(p, dtype=np.uint8) for p in parts[3:]]
@@ -165,65 +189,86 @@ def unpack(content: bytes, at: int = 0) -> tuple[dict, list[int | None], np.ndar
 
 
 class ShardFile:
-    """Token access, counting and occurrence lookup over all blocks of one file."""
+    """Token access, counting and occurrence lookup over one file's blocks.
+
+    Opening reads the headers alone; an access decompresses the one block that it falls into, and the last block used stays
+    unpacked. Counting and positions take the blocks one after another.
+    """
 
     def __init__(self, content: bytes):
-        self.blocks, at = [], 0
+        self.content, self.blocks, self._last, at = content, [], (None, None), 0
         while content[at : at + len(MAGIC)] == MAGIC:
-            *_, matrix, at = unpack(content, at)
-            self.blocks.append(matrix)
+            header, _, end = block_at(content, at)
+            self.blocks.append((at, header["tokens"]))
+            at = end
+
+    def _matrix(self, at: int) -> WaveletMatrix:
+        if self._last[0] != at:
+            self._last = at, unpack(self.content, at)[3]
+        return self._last[1]
 
     def __len__(self) -> int:
-        return sum(m.n for m in self.blocks)
+        return sum(n for _, n in self.blocks)
 
     def access(self, i: int) -> int:
-        for m in self.blocks:
-            if i < m.n:
-                return m.access(i)
-            i -= m.n
+        for at, n in self.blocks:
+            if i < n:
+                return self._matrix(at).access(i)
+            i -= n
         raise IndexError(i)
 
     def count(self, value: int) -> int:
-        return sum(m.rank(value) for m in self.blocks)
+        return sum(self._matrix(at).rank(value) for at, _ in self.blocks)
 
     def positions(self, value: int) -> list[int]:
-        out, at = [], 0
-        for m in self.blocks:
-            out += [at + i for i in m.positions(value)]
-            at += m.n
+        out, before = [], 0
+        for at, n in self.blocks:
+            out += [before + i for i in self._matrix(at).positions(value)]
+            before += n
         return out
 
 
 def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_tokens: int = FILE_TOKENS, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every whole text with the tokenizers library, append ``end_id``, and write files in ascending id order.
 
-    Range partitions of (id, text) are sorted and streamed: a task holds one open file's ids at most. Null texts count
-    as empty, null ids come last, rows that share an id follow each other in the order of their text hash.
+    Texts are encoded where they are read and leave their task as ids (two bytes each where they fit), in a table of the
+    shared folder: no text is shuffled, and neither sampling the ranges nor a lost executor encodes again. Range
+    partitions of that table are sorted and streamed: a task holds one open file's ids at most. Null texts count as empty, null
+    ids come last, rows that share an id follow each other in the order of their text hash. Other columns are ignored.
     """
     limit_batches(df.sparkSession, 500)
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = df.select(column(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = load(tokenizer_path, True), end_id.to_bytes(4, "little")
+        for batch in batches:
+            ids = [np.frombuffer(bpe.encode(text.as_py()) + end, dtype="<u4") for text in batch.column(2)]
+            wide = [bool(a.max() >> 16) for a in ids]
+            ids = [(a if w else a.astype("<u2")).tobytes() for a, w in zip(ids, wide)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide), pa.array(ids, type=pa.binary())], names=["doc_id", "tie", "wide", "ids"])
+
+    coded = written(rows.mapInArrow(encoded, "doc_id long, tie long, wide boolean, ids binary"), "token-ids")
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, piece, held, kept = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int | None] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         blocks: list[bytes] = []
 
         def block() -> bytes:
-            lengths = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-            return pack(part, piece, doc_ids, lengths, np.frombuffer(b"".join(parts), dtype="<u4"))
+            return pack(part, piece, doc_ids, np.array([len(p) for p in parts], dtype=np.int64), np.concatenate(parts))
 
         def file() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([b"".join(blocks)], type=pa.binary())], names=["value"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts.append(bpe.encode(text.as_py()) + end)
+            for doc_id, wide, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                parts.append(np.frombuffer(ids.as_py(), dtype="<u4" if wide else "<u2"))
                 doc_ids.append(doc_id)
-                held += len(parts[-1]) // 4
+                held += len(parts[-1])
                 if held >= min(block_tokens, file_tokens):
                     blocks.append(block())
                     piece, kept, held, doc_ids, parts = piece + 1, kept + held, 0, [], []
@@ -235,12 +280,15 @@ def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str =
         if blocks:
             yield file()
 
-    packed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(files, "value binary")
+    packed = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(files, "value binary")
     packed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(target)
 
 
-def read_tokens(spark: SparkSession, target: str) -> DataFrame:
-    """part, piece (block), doc_id, at (tokens of the block before the document), n_tokens, ids (little-endian 32-bit)."""
+def read_tokens(spark: SparkSession, target: str, wanted: int = END_ID) -> DataFrame:
+    """One row a document of the files: part, piece (block), doc_id, at (tokens of the block before the document), n_tokens,
+    ids (little-endian 32-bit), and three look-ups in the matrix: first_id (access), n_wanted (occurrences of ``wanted`` in
+    the document, by rank at both its ends) and first_wanted (place of the first one in the document, by select; null
+    if there is none)."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,22 +298,28 @@ def read_tokens(spark: SparkSession, target: str) -> DataFrame:
                     header, doc_ids, lengths, matrix, at = unpack(content, at)
                     tokens = matrix.tokens().astype("<u4")
                     ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                    spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+                    ranks = matrix.rank_all(wanted, ends)
+                    found = np.diff(ranks) > 0
+                    first = np.zeros(len(found), dtype=np.int64)
+                    first[found] = matrix.select_all(wanted, ranks[:-1][found]) - ends[:-1][found]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([header["part"]] * len(spans), type=pa.int32()),
-                            pa.array([header["piece"]] * len(spans), type=pa.int32()),
+                            pa.array([header["part"]] * len(doc_ids), type=pa.int32()),
+                            pa.array([header["piece"]] * len(doc_ids), type=pa.int32()),
                             pa.array(doc_ids, type=pa.int64()),
-                            pa.array([a for a, _ in spans], type=pa.int64()),
-                            pa.array([b - a for a, b in spans], type=pa.int64()),
-                            pa.array([tokens[a:b].tobytes() for a, b in spans], type=pa.binary()),
+                            pa.array(ends[:-1]),
+                            pa.array(np.diff(ends)),
+                            pa.array([tokens[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], type=pa.binary()),
+                            pa.array(matrix.access_all(ends[:-1])),
+                            pa.array(np.diff(ranks)),
+                            pa.array(first, mask=~found),
                         ],
-                        names=["part", "piece", "doc_id", "at", "n_tokens", "ids"],
+                        names=["part", "piece", "doc_id", "at", "n_tokens", "ids", "first_id", "n_wanted", "first_wanted"],
                     )
 
     limit_batches(spark, 500)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(target).select("content")
-    return files.mapInArrow(documents, "part int, piece int, doc_id long, at long, n_tokens long, ids binary")
+    return files.mapInArrow(documents, "part int, piece int, doc_id long, at long, n_tokens long, ids binary, first_id long, n_wanted long, first_wanted long")
 
 
 def with_starts(docs: DataFrame) -> DataFrame:

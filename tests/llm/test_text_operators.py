@@ -179,6 +179,7 @@ def test_wavelet_files(spark):
         ids = [*tok.encode(text, add_special_tokens=False).ids, 1]
         assert (rows[doc_id].start, rows[doc_id].n_tokens) == (at, len(ids))
         assert rows[doc_id].ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        assert (rows[doc_id].first_id, rows[doc_id].n_end_ids, rows[doc_id].first_end) == (ids[0], ids.count(1), ids.index(1))
         at += len(ids)
 
 
@@ -191,6 +192,10 @@ def test_wavelet_of_odd_rows_in_small_files(spark, tmp_path):
     ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in wavelet.with_starts(docs).orderBy("start").collect()])
     assert len(files) > 1 and sum(map(len, files)) == len(ids) and sum(f.count(1) for f in files) == (ids == 1).sum()
     assert all([f.access(i) for i in f.positions(1)] == [1] * f.count(1) for f in files)
+    for wanted in {1, 0, int(ids[3]), 60_000, 1 << 40}:
+        for r in wavelet.read_tokens(spark, target, wanted).collect():
+            own = np.frombuffer(r.ids, "<u4").tolist()
+            assert (r.first_id, r.n_wanted, r.first_wanted) == (own[0], own.count(wanted), own.index(wanted) if wanted in own else None)
     found = wavelet.with_starts(docs).orderBy("start").collect()
     assert len(found) == len(ODD) + 3 and found[-1].doc_id is None
     ids = [r.doc_id for r in found[:-1]]
