@@ -133,10 +133,12 @@ class WaveletMatrix:
         counts = before if bit else np.arange(len(before), dtype=np.int64) * 64 - before
         w = np.searchsorted(counts, nths, side="right") - 1
         word, left = words[w] if bit else ~words[w], nths - counts[w]
-        while (left > 0).any():
-            word = np.where(left > 0, word & (word - np.uint64(1)), word)
-            left = left - 1
-        return w * 64 + np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1))
+        place = np.zeros(len(w), dtype=np.uint64)
+        for half in map(np.uint64, (32, 16, 8, 4, 2, 1)):  # the bit is in the lower or in the upper half
+            low = np.bitwise_count(word >> place & (np.uint64(1) << half) - np.uint64(1)).astype(np.int64)
+            up = left >= low
+            left, place = np.where(up, left - low, left), np.where(up, place + half, place)
+        return w * 64 + place.astype(np.int64)
 
     def positions(self, value: int) -> list[int]:
         return self.select_all(value, np.arange(self.rank(value))).tolist()
@@ -231,28 +233,18 @@ class ShardFile:
 def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_tokens: int = FILE_TOKENS, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every whole text with the tokenizers library, append ``end_id``, and write files in ascending id order.
 
-    Texts are encoded where they are read and leave their task as ids (two bytes each where they fit), in a table of the
-    shared folder: no text is shuffled, and neither sampling the ranges nor a lost executor encodes again. Range
-    partitions of that table are sorted and streamed: a task holds one open file's ids at most. Null texts count as empty, null
-    ids come last, rows that share an id follow each other in the order of their text hash. Other columns are ignored.
+    Range partitions of (id, text) are sorted and streamed: a task holds one open file's ids at most. Texts are shuffled, not
+    ids: compressed, two-byte ids are nearly as large, and a table of them, without which sampling the ranges would
+    encode twice, costs more disk and CPU than it spares (the README has the figures). Null texts count as empty, null ids come
+    last, rows that share an id follow each other in the order of their text hash. Other columns are ignored.
     """
     limit_batches(df.sparkSession, 500)
-    text = F.coalesce(column(text_col), F.lit(""))
-    rows = df.select(column(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    rows = df.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = load(tokenizer_path, True), end_id.to_bytes(4, "little")
-        for batch in batches:
-            ids = [np.frombuffer(bpe.encode(text.as_py()) + end, dtype="<u4") for text in batch.column(2)]
-            wide = [bool(a.max() >> 16) for a in ids]
-            ids = [(a if w else a.astype("<u2")).tobytes() for a, w in zip(ids, wide)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(wide), pa.array(ids, type=pa.binary())], names=["doc_id", "tie", "wide", "ids"])
-
-    coded = written(rows.mapInArrow(encoded, "doc_id long, tie long, wide boolean, ids binary"), "token-ids")
-
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, end = load(tokenizer_path, True), end_id.to_bytes(4, "little")
         part, piece, held, kept = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int | None] = []
         parts: list[np.ndarray] = []
@@ -265,8 +257,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array([b"".join(blocks)], type=pa.binary())], names=["value"])
 
         for batch in batches:
-            for doc_id, wide, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                parts.append(np.frombuffer(ids.as_py(), dtype="<u4" if wide else "<u2"))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts.append(np.frombuffer(bpe.encode(text.as_py()) + end, dtype="<u4"))
                 doc_ids.append(doc_id)
                 held += len(parts[-1])
                 if held >= min(block_tokens, file_tokens):
@@ -280,7 +272,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str =
         if blocks:
             yield file()
 
-    packed = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(files, "value binary")
+    packed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(files, "value binary")
     packed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(target)
 
 
