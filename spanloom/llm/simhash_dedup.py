@@ -77,7 +77,11 @@ def two_wildcards(prints: DataFrame) -> DataFrame:
 
 
 def links(prints: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(a, b), a < b: all pairs of a table of distinct fingerprints ``fp`` that differ in at most two bits."""
+    """(a, b), a < b: all pairs of a table of distinct fingerprints ``fp`` that differ in at most two bits.
+
+    The joins of signatures are merged by hint: Spark's estimate of an exploded table leaves out the 64 or 2016 rows a
+    fingerprint, so that it would broadcast a table far over its threshold, through the driver.
+    """
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     segments = prints.select(F.explode(F.array(F.struct(F.lit(0).alias("s"), low.alias("v")), F.struct(F.lit(1).alias("s"), high.alias("v")))).alias("x")).select("x.*")
     hot = written(segments.groupBy("s", "v").count().filter(F.col("count") > hot_bucket).select("s", "v"), "hot")
@@ -85,7 +89,7 @@ def links(prints: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     if not any_hot:
         keyed = one_wildcard(prints.withColumns({"hot_low": F.lit(False), "hot_high": F.lit(False)})).drop("hot")
         a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-        return a.join(b, "key").filter((F.col("a") < F.col("b")) & (_distance("a", "b") <= MAX_BITS)).select("a", "b").distinct()
+        return a.join(b.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (_distance("a", "b") <= MAX_BITS)).select("a", "b").distinct()
     lows = hot.filter("s = 0").select(F.col("v").alias("__low"), F.lit(True).alias("__in_low"))
     highs = hot.filter("s = 1").select(F.col("v").alias("__high"), F.lit(True).alias("__in_high"))
     marked = prints.join(lows, low == F.col("__low"), "left").join(highs, high == F.col("__high"), "left")
@@ -94,9 +98,9 @@ def links(prints: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     # a cold fingerprint's bucket is bounded on its side; pairs that are hot on both sides come from two wildcards
     a = keyed.filter("not hot").select("key", F.col("fp").alias("a"))
     b = keyed.select("key", F.col("fp").alias("b"), F.col("hot").alias("b_hot"))
-    cold = a.join(b, "key").filter((F.col("b_hot") & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b"))) & (_distance("a", "b") <= MAX_BITS))
+    cold = a.join(b.hint("merge"), "key").filter((F.col("b_hot") & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b"))) & (_distance("a", "b") <= MAX_BITS))
     pairs = two_wildcards(marked.filter("hot_low or hot_high"))
-    both = pairs.withColumnRenamed("fp", "a").join(pairs.withColumnRenamed("fp", "b"), ["mask", "rest"]).filter("a < b")
+    both = pairs.withColumnRenamed("fp", "a").join(pairs.withColumnRenamed("fp", "b").hint("merge"), ["mask", "rest"]).filter("a < b")
     found = cold.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(both.select("a", "b"))
     return found.distinct()
 
@@ -107,7 +111,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     root is the least fingerprint of the component and names it: unlinked components can share a component_id.
     component_id is the smallest doc_id that links reach; rows without doc_id take part, and have component_id
     null only if no row that they reach has one. Null and empty texts have fingerprint 0 and link like any other.
-    Repeated rows have equal fingerprints and so the same component. An empty table gives no rows.
+    Repeated rows have equal fingerprints and so the same component. An empty table gives no rows. No table that grows with
+    ``df`` is broadcast.
     """
     limit_batches(df.sparkSession)
     slim = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), fingerprint_column(text_col, words).alias("fp"))
@@ -115,9 +120,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     prints = slim.select("fp").distinct()
     nodes = connected_components(links(prints, hot_bucket)).withColumnsRenamed({"node": "fp", "component": "root"})
     nodes = written(nodes, "components")
-    rooted = slim.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = slim.join(nodes.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", "text_hash", "fp", "root", "component_id")
+    return rooted.join(least.hint("merge"), "root").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -129,5 +134,5 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = written(near_groups(df, id_col, text_col, hot_bucket=hot_bucket).select("doc_id", "text_hash", "root"), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = groups.groupBy("root").agg(F.min(place).alias("first"))
-    decided = groups.join(first, "root").select("doc_id", "text_hash", (place == F.col("first")).alias("keep"))
+    decided = groups.join(first.hint("merge"), "root").select("doc_id", "text_hash", (place == F.col("first")).alias("keep"))
     return keep_by_key(df, {"doc_id": F.col(id_col), "text_hash": F.xxhash64(F.col(text_col))}, decided, "near")
