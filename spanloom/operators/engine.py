@@ -114,11 +114,11 @@ class Parser:
 
     def prepare(self, docs: DataFrame, text_col: str = "text", native: bool = False) -> DataFrame:
         """key and tokens (and paradigms): tokenised unless ``docs`` has tokens, with forms and the tagger applied."""
-        if "tokens" in docs.columns:
-            out = docs
-        else:
-            out = self.tokenizer(docs, text_col) if self.tokenizer else with_tokens(docs.select(self.key, text_col), text_col, native=native)
-        out = out.select(self.key, "tokens").filter(F.col("tokens").isNotNull())
+        if "tokens" in docs.columns or self.tokenizer:
+            out = docs if "tokens" in docs.columns else self.tokenizer(docs, text_col)
+            out = out.select(self.key, "tokens").filter(F.col("tokens").isNotNull())
+        else:  # a filter on the tokens would tokenise once more
+            out = with_tokens(docs.select(self.key, text_col).filter(F.col(text_col).isNotNull()), text_col, native=native).select(self.key, "tokens")
         if self.lexicon is not None:
             out = with_forms(out, self.lexicon, self.types, self.key)
         if self.tagger:
@@ -167,7 +167,7 @@ class Parser:
         if plan == "array":
             return self._array(self.prepare(docs, text_col, native=True), verb)
         if plan == "relational":
-            return self._relational(self.prepare(docs, text_col), verb)
+            return self._relational(docs, text_col, verb)
         return self._vector(docs, text_col, verb, "matches", plan == "chart")
 
     def facts(self, docs: DataFrame, verb: str = "findall", text_col: str = "text") -> DataFrame:
@@ -230,9 +230,13 @@ class Parser:
 
     # relational plan
 
-    def _relational(self, prepared: DataFrame, verb: str) -> DataFrame:
-        key = self.key
-        tokens = prepared.select(key, F.posexplode("tokens").alias("start", "token"))
+    def _relational(self, docs: DataFrame, text_col: str, verb: str) -> DataFrame:
+        """All joins are merged by hint: Spark's estimate of exploded tokens leaves out their number, so that it would broadcast
+        tables of tokens far over its threshold, through the driver."""
+        key, prepared = self.key, self.prepare(docs, text_col)
+        # the generator of one row keeps the filter that Spark derives for the next one from tokenising once more
+        apart = fixed(prepared.select(key, F.col("tokens").alias("__made")), {"tokens": F.col("__made")})
+        tokens = apart.select(key, F.posexplode("tokens").alias("start", "token"))
         memo: dict[int, tuple[DataFrame | None, bool]] = {}
 
         def accepted(p) -> DataFrame:
@@ -242,7 +246,7 @@ class Parser:
             if a is None or b is None:
                 return None
             right = b.select(F.col(key), F.col("start").alias("stop"), F.col("stop").alias("end"))
-            return a.join(right, [key, "stop"]).select(key, "start", F.col("end").alias("stop"))
+            return a.join(right.hint("merge"), [key, "stop"]).select(key, "start", F.col("end").alias("stop"))
 
         def union(parts: list[DataFrame | None]) -> DataFrame | None:
             parts = [x for x in parts if x is not None]
@@ -253,7 +257,7 @@ class Parser:
             order = Window.partitionBy(key).orderBy("start")
             islands = accepted(p).withColumn("island", F.col("start") - F.row_number().over(order))
             ends = islands.groupBy(key, "island").agg(F.max("stop").alias("end"))
-            return islands.join(ends, [key, "island"]).select(key, "start", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("stop"))
+            return islands.join(ends.hint("merge"), [key, "island"]).select(key, "start", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("stop"))
 
         def spans(s: Symbol) -> tuple[DataFrame | None, bool]:
             """Non-empty spans of a rule, and whether it may be empty."""
@@ -288,7 +292,10 @@ class Parser:
             found = resolve(found, key)
         ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("end"))))  # a document's spans
         spans = found.groupBy(key).agg(F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"))).alias("__spans"))
-        return self._described(spans.join(prepared.select(key, "tokens"), key))
+        if "tokens" in docs.columns or self.tokenizer or self.tagger or self.lexicon is not None:
+            return self._described(spans.join(prepared.select(key, "tokens").hint("merge"), key))
+        # texts are shuffled, not their tokens, which are many times as large
+        return self._described(with_tokens(spans.join(docs.select(key, text_col).hint("merge"), key), text_col))
 
     # vector and chart plan
 
