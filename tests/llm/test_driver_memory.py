@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import simhash_dedup
-from spanloom.llm.common import written
+from spanloom.llm.common import small_side, written
 
 
 def plan(df):
@@ -28,3 +28,14 @@ def test_near_groups_are_not_broadcast(spark):
     found = simhash_dedup.near_groups(rows)
     assert "BroadcastHashJoin" not in plan(found)
     assert found.agg(F.countDistinct("component_id")).first()[0] <= 10
+
+
+@pytest.mark.parametrize("kind", ["left_anti", "left"])
+def test_large_side_is_merged(spark, kind):
+    """A written table of over ``max_rows`` rows has small files, by which Spark would broadcast it all the same."""
+    rows = spark.range(100).withColumn("n", F.lit(1))
+    side = written(rows.withColumnRenamed("id", "other"), "side")
+    on = F.col("id").eqNullSafe(F.col("other"))
+    assert "BroadcastHashJoin" in plan(rows.select("id").join(small_side(side), on, kind))
+    large = rows.select("id").join(small_side(side, max_rows=99), on, kind)
+    assert "Broadcast" not in plan(large) and large.count() == (0 if kind == "left_anti" else 100)
