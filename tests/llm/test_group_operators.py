@@ -211,6 +211,22 @@ def test_close_fingerprints_for_every_cut(spark):
     assert [line_dedup.blocks_for(n) for n in (0, 100, 2_000_000, 10**9, 10**15)] == [4, 4, 5, 6, 8]
 
 
+def test_large_keys_of_blocks_are_cut_finer(spark):
+    rng = random.Random(10)
+    low = rng.getrandbits(25)
+    values = [low | rng.getrandbits(38) << 25 for _ in range(300)]
+    near = [(v, v ^ sum(1 << b for b in rng.sample(range(25, 63), rng.randint(1, 3)))) for v in values[:60]]
+    prints = values + [b for _, b in near]
+    rows = [(4, i, 0, len(prints), v, 50) for i, v in enumerate(prints)] + [(7, i, 0, 40, v, 50) for i, v in enumerate(prints[:40])] + [(8, i, 0, 2, v, 50) for i, v in enumerate(prints[:2])]
+    members = spark.createDataFrame(rows, "key long, id long, first long, size long, fp long, chars int")
+    by = defaultdict(set)
+    for r in line_dedup.finer_keys(members).collect():
+        by[r.key].add(r.fp)
+    assert len(by.pop(7)) == 40 and by.pop(8) == set(prints[:2])  # keys of words and small keys stay
+    assert max(map(len, by.values())) <= line_dedup.SMALL
+    assert all(any({a, b} <= found for found in by.values()) for a, b in near)
+
+
 def test_lines_of_odd_rows(spark):
     long_line = " ".join(f"w{i % 5000}" for i in range(70_000))
     line = "one line that is long enough to count"
