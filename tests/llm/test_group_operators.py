@@ -268,6 +268,39 @@ def test_short_lines_go_by_equality(spark):
     assert out == {1: rows[0][1], 2: "\n--\nchapter 11", 3: "read mores"}
 
 
+def test_edit_bound_is_an_upper_bound(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(200)]
+    rows = [([], []), (["a"], []), (["a", "b", "c"], ["b", "c", "d"])]
+    for _ in range(200):
+        p = rng.choices(vocabulary, k=rng.randint(1, 40))
+        q = list(p)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(q) + 1)
+            q[i : i + rng.randint(0, 2)] = rng.choices(vocabulary, k=rng.randint(0, 2))
+        rows.append((p, q))
+    df = spark.createDataFrame(rows, "p array<string>, q array<string>")
+    line = lambda c: F.array_join(c, " ")
+    found = df.select("p", "q", line_dedup.edit_bound(F.col("p"), F.col("q")).alias("bound"), F.levenshtein(line("p"), line("q")).alias("edits")).collect()
+    known = [r for r in found if r.bound is not None]
+    assert len(known) >= 0.8 * len(rows) and all(r.bound >= r.edits for r in known)
+    assert all(r.bound == 0 for r in known if r.p == r.q)
+    assert (next(r.bound for r in found if r.p == ["a", "b", "c"]), len([r for r in known if 0 < r.edits and len(r.q) != len(r.p)]) > 20) == (4, True)
+
+
+def test_texts_are_split_once_and_spent_tables_go(spark):
+    df = spark.createDataFrame([(i, f"the same line in each of the documents\nand one of its own {i}") for i in range(9)], "doc_id long, text string")
+    out = line_dedup.line_dedup(df, shingles=line_dedup.SHINGLES)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "get(split(" not in plan
+    table = common.written(df, "spent")
+    (folder,) = {f.rpartition("/")[0] for f in table.inputFiles()}
+    assert folder.startswith(f"{common.shared_dir(spark)}/spanloom/spent-")
+    common.discarded(table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
+
+
 # sharding
 
 
