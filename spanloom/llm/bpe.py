@@ -148,7 +148,8 @@ class WordBpe:
         self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kind('L')}]+|[{kind('N')}]|[^\s{kind('L')}{kind('N')}]+")
         self.four = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
         self.ids_of = self._library_ids if library_merges else self._tree_ids
-        self.words = RecentCache(self._plain_word, cache)
+        self.tokenize = self.library.model.tokenize  # each look at ``model`` makes a new object
+        self.words = RecentCache(self._library_word if library_merges else self._plain_word, cache)
         self.mapped = RecentCache(self._word, cache // 4)
 
     def _tree_ids(self, word: str) -> list[int]:
@@ -158,7 +159,14 @@ class WordBpe:
         return merge_word(symbols, self.ranks, self.merged, self.base)
 
     def _library_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize(word)]
+        return [t.id for t in self.tokenize(word)]
+
+    def _library_word(self, word: str) -> bytes:
+        """:meth:`_plain_word` by the library in one step: where most distinct words are rare, this is most of the work."""
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        four = self.four
+        return b"".join([four[t.id] for t in self.tokenize(word)])
 
     def _word(self, word: str) -> bytes:
         """Ids of a pre-token in the byte-level alphabet, as little-endian 32-bit integers."""

@@ -30,6 +30,8 @@ FILE_TOKENS = 4_000_000
 #: Tokens from which a block is closed.
 BLOCK_TOKENS = 500_000
 END_ID = 1
+#: Words of a generation of the encoder's cache, some 100 MB a worker: a task meets more distinct words than bpe.CACHE_WORDS.
+CACHE_WORDS = 500_000
 
 
 class WaveletMatrix:
@@ -244,7 +246,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, target: str, id_col: str =
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = load(tokenizer_path, True), end_id.to_bytes(4, "little")
+        bpe, end = load(tokenizer_path, True, CACHE_WORDS), end_id.to_bytes(4, "little")
         part, piece, held, kept = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int | None] = []
         parts: list[np.ndarray] = []

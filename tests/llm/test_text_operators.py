@@ -119,6 +119,16 @@ def test_bpe_of_random_texts():
         assert np.frombuffer(own.encode(text), "<i4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_words_by_the_library_in_one_step():
+    encoder = bpe.WordBpe(queries.tokenizer_path(), True, cache=8)
+    words = ["a", "thatther", "über", "ßgetz", "été", ",.;", "7", "q" * 80, *(f"{chr(97 + i)}{chr(98 + i)}ing" for i in range(20))]
+    for word in words:
+        want = np.array(encoder.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encoder._library_word(word) == encoder._plain_word(word) == encoder.encode(word) == want
+    assert encoder.words.make == encoder._library_word and max(len(encoder.words), len(encoder.words.old)) <= 8
+    assert wavelet.CACHE_WORDS > bpe.CACHE_WORDS
+
+
 def test_merge_takes_leftmost_lowest_rank():
     ranks, merged = {1 * 10 + 1: 0, 2 * 10 + 1: 1}, [2, 3]
     assert bpe.merge_word([1, 1, 1], ranks, merged, 10) == [3]
