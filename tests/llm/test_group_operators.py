@@ -288,6 +288,25 @@ def test_edit_bound_is_an_upper_bound(spark):
     assert (next(r.bound for r in found if r.p == ["a", "b", "c"]), len([r for r in known if 0 < r.edits and len(r.q) != len(r.p)]) > 20) == (4, True)
 
 
+def test_cut_bound_is_an_upper_bound(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(200)]
+    rows = [("", "", 0), ("a", "", 1), ("", "abc", 1), ("abc" * 50, "xyz" * 50, 20)]
+    for n in [5, 20, 100, 300] * 15:
+        p = rng.choices(vocabulary, k=n)
+        q = list(p)
+        for _ in range(rng.randint(0, n // 8)):
+            i = rng.randrange(len(q) + 1)
+            q[i : i + rng.randint(0, 2)] = rng.choices(vocabulary, k=rng.randint(0, 2))
+        rows.append((" ".join(p), " ".join(q), max(len(" ".join(p)), len(" ".join(q))) // 5))
+    df = spark.createDataFrame(rows, "p string, q string, most int")
+    found = df.select("p", "most", line_dedup.cut_bound(F.col("p"), F.col("q"), F.col("most")).alias("bound"), F.levenshtein("p", "q").alias("edits")).collect()
+    assert all(r.edits <= r.bound or r.bound > r.most for r in found)
+    linked = [r for r in found if r.edits <= r.most]
+    assert len(linked) > 50 and sum(r.bound <= r.most for r in linked) >= 0.9 * len(linked)
+    assert all(r.bound > r.most for r in found if r.edits > r.most)
+
+
 def test_texts_are_split_once_and_spent_tables_go(spark):
     df = spark.createDataFrame([(i, f"the same line in each of the documents\nand one of its own {i}") for i in range(9)], "doc_id long, text string")
     out = line_dedup.line_dedup(df, shingles=line_dedup.SHINGLES)
